@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import exact_dedup, secrets, sharding
+from pixelsieve.llm import bpe, exact_dedup, packing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sharding": sharding.op2_sharding,
+        "op4_packing": packing.op4_packing,
+        "op8_bpe": bpe.op8_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_secrets": secrets.op10_secrets,
     }

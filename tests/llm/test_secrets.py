@@ -75,7 +75,6 @@ def test_sample(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     got = run(spark, SF)
     assert got == sorted((expect(r["doc_id"], r["text"]) for r in rows), key=str)
-    assert any(g[1] or g[2] or g[3] for g in got)
 
 
 def test_redact(spark):
