@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import bpe, exact_dedup, packing, secrets, sharding
+from pixelsieve.llm import bpe, chat, exact_dedup, fingerprints, language_id, packing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": chat.op1_chat,
         "op2_sharding": sharding.op2_sharding,
         "op4_packing": packing.op4_packing,
+        "op6_language_id": language_id.op6_language_id,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_bpe": bpe.op8_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_secrets": secrets.op10_secrets,
@@ -20,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
