@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import bpe, chat, exact_dedup, fingerprints, language_id, packing, secrets, sharding
+from pixelsieve.llm import bpe, chat, exact_dedup, fingerprints, jaccard_join, language_id, packing, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat": chat.op1_chat,
         "op2_sharding": sharding.op2_sharding,
         "op4_packing": packing.op4_packing,
+        "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_language_id": language_id.op6_language_id,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_bpe": bpe.op8_bpe,
