@@ -18,6 +18,8 @@ other columns are not read.
 from __future__ import annotations
 
 import bisect
+import functools
+import itertools
 import math
 import zlib
 from collections import defaultdict
@@ -34,6 +36,8 @@ from pixelsieve.llm.common import batch, cut, pick, read
 CAPACITY = 4096
 END_ID = 1
 RANK_BUCKETS = 256
+#: Words whose ids a worker remembers, in two generations.
+REMEMBERED = 1_200_000
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
@@ -120,59 +124,75 @@ def pack_counts(counts: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     return runs, sequence
 
 
-def _tokenized(path: str, capacity: int):
-    """Pieces of each document. The library encodes a batch's new words in one call; words repeat, so that
-    their ids are remembered."""
+class WordIds:
+    """Ids of words, as bytes, from the `tokenizers` library; words repeat, so that their ids are remembered, in
+    two generations that bound their number. A worker has one for all its tasks."""
 
-    def run(batches):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        vocab, lib = bpe.vocabulary(path), Tokenizer.from_file(path)
-        lib.no_truncation()
-        lib.no_padding()
-        mark = "</w>"
-        is_end = np.zeros(lib.get_vocab_size(), bool)
-        for i, t in vocab.strings.items():
-            is_end[i] = t.endswith(mark)
-        young: dict[str, bytes] = {}
-        old: dict[str, bytes] = {}
-        end = np.array([END_ID], "<u4").tobytes()
+        self.vocab, self.lib = bpe.vocabulary(path), Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        self.is_end = np.zeros(self.lib.get_vocab_size(), bool)
+        for i, t in self.vocab.strings.items():
+            self.is_end[i] = t.endswith("</w>")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def know(self, pieces: list[list[str]]) -> dict[str, bytes]:
+        """Ids of all these words, and of others."""
+        if len(self.young) > REMEMBERED // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set(itertools.filterfalse(young.__contains__, itertools.chain.from_iterable(pieces)))
+        again = [p for p in new if p in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        self._learn(list(new.difference(again)))
+        return young
+
+    def _learn(self, new: list[str]) -> None:
+        """The library encodes many new words in one call."""
+        young, vocab = self.young, self.vocab
+        for p in [p for p in new if p[:1] == "\x00" and p[1:] in vocab.special]:
+            young[p] = np.array([vocab.special[p[1:]]], "<u4").tobytes()
+        plain = [p for p in new if p not in young]
+        for lo in range(0, len(plain), 5000):
+            part = plain[lo : lo + 5000]
+            ids = np.array(self.lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(part):
+                data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+                for p, a, b in zip(part, at[:-1], at[1:], strict=True):
+                    young[p] = data[a:b]
+            else:  # a word that the library would split again when it stands alone
+                for p in part:
+                    young[p] = np.array(vocab.encode_piece(p), "<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
-        def learn(new: list[str]) -> None:
-            special = [p for p in new if p[:1] == "\x00" and p[1:] in vocab.special]
-            for p in special:
-                young[p] = np.array([vocab.special[p[1:]]], "<u4").tobytes()
-            plain = [p for p in new if p not in young]
-            for lo in range(0, len(plain), 5000):
-                part = plain[lo : lo + 5000]
-                ids = np.array(lib.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-                ends = np.flatnonzero(is_end[ids]) + 1
-                if len(ends) == len(part):
-                    data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
-                    for p, a, b in zip(part, at[:-1], at[1:], strict=True):
-                        young[p] = data[a:b]
-                else:  # a word that the library would split again when it stands alone
-                    for p in part:
-                        young[p] = np.array(vocab.encode_piece(p), "<u4").tobytes()
 
+def _tokenized(path: str, capacity: int):
+    """Pieces of each document."""
+
+    def run(batches):
+        known = word_ids(path)
+        end = np.array([END_ID], "<u4").tobytes()
         names, types = ["id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         for b in batches:
             rows = []
             ids, column = b.column("id").to_pylist(), b.column("text").to_pylist()
             for lo in range(0, len(ids), 256):
-                pieces = [vocab.pieces(t or "") for t in column[lo : lo + 256]]
-                new = set().union(*pieces).difference(young)
-                for p in [p for p in new if p in old]:
-                    young[p] = old[p]
-                    new.discard(p)
-                learn(sorted(new))
+                pieces = [known.vocab.pieces(t or "") for t in column[lo : lo + 256]]
+                get = known.know(pieces).__getitem__
                 for i, words in zip(ids[lo : lo + 256], pieces, strict=True):
-                    data = b"".join([*map(young.__getitem__, words), end])
+                    data = b"".join([*map(get, words), end])
                     for k in range(0, len(data), 4 * capacity):
                         part = data[k : k + 4 * capacity]
                         rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-                if len(young) > bpe.REMEMBERED // 2:
-                    old, young = young, {}
             if rows:
                 yield batch(names, types, list(zip(*rows, strict=True)))
 
