@@ -114,6 +114,19 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.select("id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy")).drop("copy")
 
 
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of equal normalised texts, all its columns kept."""
+    r = recipes(df, id_col, text_col)
+    order = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), "sha", "copies")
+    best = cut(r.groupBy("recipe").agg(F.min(order).alias("best")).select((-F.col("best.n")).alias("__n"), F.col("best.id").alias("__id"), F.col("best.sha").alias("__sha"), F.col("best.copies").alias("__copies")))
+    text = F.coalesce(df[text_col], F.lit(""))
+    sha = F.sha2(F.encode(F.translate(text, " \t\n\x0b\x0c\r", ""), "UTF-8"), 256)
+    on = df[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.length(text) == F.col("__n")) & (sha == F.col("__sha"))
+    single = df.join(best.filter("__copies = 1"), on, "left_semi")
+    repeated = df.join(best.filter("__copies > 1"), on, "left_semi")
+    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 

@@ -39,6 +39,22 @@ def test_clashing_columns(spark):
     assert {(r["id"], r["keep_id"]) for r in X.exact_duplicates(df).collect()} == {(1, 1), (2, 1)}
 
 
+def test_drop(spark):
+    rows = [doc(i, t) for i, t in enumerate(EDGE_TEXTS)] + [doc(90, "b c d"), doc(90, "b c d"), doc(91, "bcd"), doc(None, "lone"), doc(None, "lone")]
+    kept = sorted((tuple(r) for r in X.drop_exact_duplicates(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert kept == sorted({r for r, b in zip(sorted(rows, key=str), sorted(brute_keys(rows), key=str)) if b[1]}, key=str)
+
+
+def brute_keys(rows):
+    """Each row, and whether it is the one of its group that stays."""
+    norm = lambda t: "".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r")
+    best = {}
+    for r in rows:
+        key = (-len(r[1] or ""), r[0] is None, r[0] or 0)
+        best[norm(r[1])] = min(best.get(norm(r[1]), key), key)
+    return [(r, (-len(r[1] or ""), r[0] is None, r[0] or 0) == best[norm(r[1])]) for r in rows]
+
+
 def test_sample(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, SF) == brute(rows)
