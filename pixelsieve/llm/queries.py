@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import bpe, chat, exact_dedup, fingerprints, jaccard_join, language_id, packing, secrets, sharding
+from pixelsieve.llm import bpe, chat, exact_dedup, fingerprints, jaccard_join, language_id, packing, repeated_text, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": chat.op1_chat,
         "op2_sharding": sharding.op2_sharding,
+        "op3_repeated_text": repeated_text.op3_repeated_text,
         "op4_packing": packing.op4_packing,
         "op5_jaccard_join": jaccard_join.op5_jaccard_join,
         "op6_language_id": language_id.op6_language_id,
