@@ -227,15 +227,21 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encoded(path: str):
-    def run(batches):
-        vocab = vocabulary(path)
+@functools.lru_cache(maxsize=1)
+def remembered_pieces(path: str) -> Remembered:
+    """By piece, its ids (decimal, joined by a space) and their decoded text; one for all tasks of a worker."""
+    vocab = vocabulary(path)
+
+    def both(piece: str) -> tuple[str, str]:
+        ids = vocab.encode_piece(piece)
+        return " ".join(map(str, ids)), vocab.decode(ids)
 
-        def both(piece: str) -> tuple[str, str]:
-            ids = vocab.encode_piece(piece)
-            return " ".join(map(str, ids)), vocab.decode(ids)
+    return Remembered(both)
 
-        remembered = Remembered(both)
+
+def _encoded(path: str):
+    def run(batches):
+        vocab, remembered = vocabulary(path), remembered_pieces(path)
         names, types = ["id", "n_tokens", "ids", "decoded"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
             texts = b.column("text").to_pylist()
