@@ -144,7 +144,7 @@ def _ring_of(h: int, w: int, rings: int) -> np.ndarray:
     cx, cy = w / 2, h / 2
     radius = min(cx, cy)
     y, x = np.arange(h)[:, None] + 0.5 - cy, np.arange(w)[None, :] + 0.5 - cx
-    return np.minimum(rings - 1, (np.hypot(x, y) / (radius / rings)).astype(np.int64)).ravel()
+    return np.minimum(rings - 1, (np.sqrt(x * x + y * y) / (radius / rings)).astype(np.int64)).ravel()
 
 
 def ring_means(gray: np.ndarray, rings: int) -> np.ndarray:
@@ -334,7 +334,7 @@ def gradients(gray: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dx, dy = wide[:, 1:-1, 2:] - wide[:, 1:-1, :-2], wide[:, 2:, 1:-1] - wide[:, :-2, 1:-1]
     angle = np.arctan2(dy, dx) * 180 / np.pi
     angle = np.where(angle < 0, angle + 180, angle)
-    return np.hypot(dx, dy), np.where(angle >= 180, 0.0, angle)
+    return np.sqrt(dx * dx + dy * dy), np.where(angle >= 180, 0.0, angle)
 
 
 def gradient_bytes(gray: np.ndarray, cell: int, bins: int) -> np.ndarray:
