@@ -6,9 +6,9 @@ are dealt by hash to H + t parts, and linked sets agree on at least t whole part
 only sets that share names can link.
 
 Light classes (small sets, where H is small) enumerate subsets: H + 2 parts, and one name for each subset of
-two parts, which holds most of the set. Heavy classes (large sets) name single parts, and the list of sets
-under each name is scanned. The boundary follows from cost: names emitted, and list entries that are expected
-to match by chance. In heavy classes a set that shares fewer than t of its names with any other set links with
+two parts. Heavy classes (large sets) name single parts, and the list of sets under each name is scanned. The
+boundary follows from cost, for the number of sets of each class: names, and comparisons of pairs that are
+expected to meet by chance. In heavy classes a set that shares fewer than t of its names with any other set links with
 nothing and goes, which leaves documents that only share a passage out of what follows.
 
 Equal sets are one node throughout. Nodes that share names, by way of any chain, form a candidate component;
@@ -38,9 +38,10 @@ from pixelsieve.llm.components import connected_components
 #: Nodes of a candidate component that one task compares.
 BLOCK = 1000
 #: Spare parts of heavy classes, as a share of H.
-SPARE = 0.3
-#: For the cost of a boundary: the chance that a shingle of one set is in another set of its size.
-CHANCE = 0.2
+SPARE = 0.15
+#: For the cost of a boundary: the chance that a shingle of one set is in another set of its size, and what it
+#: costs to compare a pair that meets by chance, in names.
+CHANCE, COMPARE = 0.05, 0.5
 
 _U = np.uint64
 _rng = np.random.default_rng(20170917)
@@ -106,9 +107,9 @@ def shingles(data, k: int) -> np.ndarray:
 
 
 def set_key(u: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
+    """127 bits that stand for a set; the lowest bit of the first number is free."""
     d = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    return int.from_bytes(d[:8], "little", signed=True) & ~1, int.from_bytes(d[8:], "little", signed=True)
 
 
 class Classes:
@@ -155,7 +156,7 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
         parts = h + (2 if light else max(1, int(SPARE * h)))
         names = parts * (parts - 1) / 2 if light else parts
         held = classes.low[c] / parts * (2 if light else 1)
-        return n * names + n * n * names * CHANCE**held
+        return n * names + COMPARE * n * n * min(1.0, names * CHANCE**held)
 
     top = max(sizes, default=0) + 1
     costs = [sum(cost(c, n, c < b) for c, n in sizes.items()) for b in range(top + 1)]
@@ -187,22 +188,34 @@ def names(u: np.ndarray, c: int, classes: Classes) -> tuple[np.ndarray, int]:
     return mix(mix(whole + np.arange(1, m + 1, dtype=_U) * _BASE) + salt), 1
 
 
-def _sets(k: int):
+def _need(u: np.ndarray, c: int, classes: Classes) -> int:
+    """The number that names() returns, for a heavy class."""
+    spare = classes.spare(c)
+    m = classes.bound(c) + spare
+    part = ((u >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
+    return max(1, spare - (m - int(np.count_nonzero(np.diff(part, prepend=-1)))))
+
+
+def _sets(k: int, percent: int):
+    heavy = Classes(percent)
+
     def run(batches):
-        cols, types = ["id", "n", "h1", "h2"], [pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        cols, types = ["id", "n", "h1", "h2", "own", "below"], [pa.int64()] * 4 + [pa.int32()] * 2
         for b in batches:
-            sizes, keys = [], []
-            for view in utf8_views(b.column("text")):
+            rows = []
+            for i, view in zip(b.column("id").to_pylist(), utf8_views(b.column("text")), strict=True):
                 u = shingles(view, k)
-                sizes.append(len(u))
-                keys.append(set_key(u))
-            h1, h2 = zip(*keys, strict=True) if keys else ((), ())
-            yield batch(cols, types, [b.column("id"), sizes, list(h1), list(h2)])
+                meets = heavy.meets_in(len(u)) if len(u) else []
+                needs = [_need(u, c, heavy) for c in meets] + [None, None]
+                rows.append((i, len(u), *set_key(u), needs[0], needs[1]))
+            if rows:
+                yield batch(cols, types, list(zip(*rows, strict=True)))
 
     return run
 
 
-_RECORD = np.dtype([("name", "<u8"), ("node", "<i8"), ("c", "<i4"), ("need", "<i4")])
+#: A name, and the node that has it; the node's lowest bit says whether it is that of the class below its own.
+_RECORD = np.dtype([("name", "<u8"), ("node", "<i8")])
 
 
 def _named(k: int, classes: Classes, buckets: int):
@@ -229,10 +242,10 @@ def _named(k: int, classes: Classes, buckets: int):
                 if node in seen:
                     continue
                 seen.add(node)
-                for c in classes.meets_in(len(u)):
-                    found, need = names(u, c, classes)
+                for below, c in enumerate(classes.meets_in(len(u))):
+                    found, _ = names(u, c, classes)
                     r = np.empty(len(found), _RECORD)
-                    r["name"], r["node"], r["c"], r["need"] = found, node, c, need
+                    r["name"], r["node"] = found, node | below
                     out.append(r)
                     held += len(r)
                 if held > 1_000_000:
@@ -253,7 +266,7 @@ def _shared(batches):
         order = np.lexsort((a["node"], a["name"]))
         name, node = a["name"][order], a["node"][order]
         fresh = np.ones(len(a), bool)
-        fresh[1:] = (name[1:] != name[:-1]) | (node[1:] != node[:-1])
+        fresh[1:] = (name[1:] != name[:-1]) | (node[1:] >> 1 != node[:-1] >> 1)
         order = order[fresh]
         name = name[fresh]
         starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
@@ -261,7 +274,7 @@ def _shared(batches):
         a = a[order[many]]
         if not len(a):
             return None
-        return batch(["name", "node", "c", "need"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()], [a["name"].view(np.int64), a["node"], a["c"], a["need"]])
+        return batch(["name", "node"], [pa.int64(), pa.int64()], [a["name"].copy().view(np.int64), a["node"].copy()])
 
     now, parts = None, []
     for b in batches:
@@ -366,21 +379,32 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spark = df.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = pick(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    members = cut(docs.mapInArrow(_sets(k), "id long, n long, h1 long, h2 long"))
-    classes_of = members.filter("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    members = cut(docs.mapInArrow(_sets(k, percent), "id long, n long, h1 long, h2 long, own int, below int"))
+    classes_of = members.filter("id is not null and n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in ("n", "own", "below")])
 
     # Names, and the nodes that share enough of them.
-    plain = Classes(percent)
-    edges = ", ".join(f"{x}L" for x in plain.high[:-1])
+    high = Classes(percent).high
+    edges = ", ".join(f"{x}L" for x in high[:-1])
     per_class = classes_of.select(F.expr(f"size(filter(array({edges}), x -> x < n))").alias("c")).groupBy("c").agg(F.count("*").alias("sets"))
     sizes = {r["c"]: r["sets"] for r in per_class.collect()}  # a row for each class: a few dozen
-    classes = Classes(percent, boundary(sizes, percent))
+    heavy_from = boundary(sizes, percent)
+    classes = Classes(percent, heavy_from)
     named = docs.filter("id is not null").mapInArrow(_named(k, classes, 4 * tasks), "bucket int, data binary")
-    shared = cut(named.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "name long, node long, c int, need int"))
-    enough = shared.groupBy("node", "c").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need")
-    live = shared.select("name", "node", "c").join(enough.select("node", "c"), ["node", "c"])
+    shared = cut(named.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "name long, node long"))
+    light_own, light_below = (F.col("n") <= (high[heavy_from - 1] if heavy_from else 0)), (F.col("n") <= (high[heavy_from] if heavy_from else 0))
+    needs = F.array(
+        F.struct(F.col("h1").alias("node"), F.when(light_own, 1).otherwise(F.col("own")).alias("need")),
+        F.struct(F.col("h1").bitwiseOR(F.lit(1)).alias("node"), F.when(light_below, 1).otherwise(F.col("below")).alias("need")),
+    )
+    needed = classes_of.select(F.explode(needs).alias("x")).select("x.*").filter("need is not null")
+    enough = shared.groupBy("node").agg(F.count("*").alias("n")).join(needed, "node").filter("n >= need").select("node").distinct()
+    live = shared.join(enough, "node").select("name", F.col("node").bitwiseAND(F.lit(-2)).alias("node"))
     first = live.groupBy("name").agg(F.min("node").alias("a"))
     stars = live.join(first, "name").filter("a <> node").select("a", F.col("node").alias("b"))
+    # A node has an edge for each of its names; its first one, and edges from there to the others, which many
+    # nodes have in common, connect the same.
+    stars = stars.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"))
+    stars = stars.select(F.element_at("all", 1).alias("a"), F.explode(F.concat(F.expr("slice(all, 2, size(all))"), F.array("b"))).alias("b"))
     candidates = connected_components(stars)  # node, root
 
     # Compare all nodes of a candidate component, in blocks where it is large.
@@ -418,3 +442,4 @@ def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: s
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
     return found.withColumnRenamed("id", "doc_id")
+

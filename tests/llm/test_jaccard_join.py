@@ -80,6 +80,14 @@ def test_brute_force(spark, seed, k, percent, block):
     assert len({w[2] for w in want}) < len(rows)
 
 
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_light_classes(spark, monkeypatch, k, percent):
+    """With small sets by subsets of parts; a group of sets on both sides of the boundary."""
+    monkeypatch.setattr(X, "boundary", lambda sizes, percent: 7)
+    rows = near_copies(8)
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent) == brute(rows, k, percent)
+
+
 def test_edges(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(40, "HELLO,\x0bworld!"), (41, "one two"), (42, "ONE\ttwo"), (43, "one two three"), (6, "same text here")]
     path = save(spark, tmp_path, [doc(i, t) for i, t in rows])
@@ -131,7 +139,7 @@ def test_linked_blocks():
 
 def test_boundary():
     assert X.boundary({}, 90) == 0 and X.boundary({3: 5}, 90) >= 0
-    assert X.boundary({c: 10**9 for c in range(25)}, 80) > X.boundary({c: 10 for c in range(25)}, 80)
+    assert X.boundary({c: 10**9 for c in range(25)}, 80) > X.boundary({c: 1 for c in range(6, 25)}, 80)
 
 
 def test_components(spark):
