@@ -443,3 +443,20 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90)
     return found.withColumnRenamed("id", "doc_id")
 
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(len(w) - 2), lambda i: array_to_string(w[i + 1 : i + 3], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+c(a, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, c.root FROM c JOIN e ON c.a = e.a),
+m AS (SELECT a, min(root) AS root FROM c GROUP BY a),
+l AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, coalesce(l.links, 0) AS n_links
+FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n USING (doc_id) LEFT JOIN l ON l.a = d.doc_id
+"""

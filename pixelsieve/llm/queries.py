@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+    return {
+        "op1_chat": chat.OP1_SQL,
+        "op2_sharding": sharding.OP2_SQL,
+        "op5_jaccard_join": jaccard_join.OP5_SQL,
+        "op9_exact_dedup": exact_dedup.OP9_SQL,
+    }

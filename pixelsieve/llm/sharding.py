@@ -75,3 +75,26 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     out = interleave(rows, 16, size_col="size")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP2_SQL = r"""
+WITH k AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+d AS (
+  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS x,
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+c AS (
+  SELECT doc_id, source, size, h, xor(4294967295, list_reduce(list_prepend(4294967295,
+      list_transform(range(size - 1), lambda i: ('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, crc[CAST((xor(a, b) & 255) + 1 AS INTEGER)]))) AS text_crc32
+  FROM d, k),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n,
+         (('0x' || substr(md5('source:17:' || coalesce(source, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM c),
+p AS (
+  SELECT *, row_number() OVER (ORDER BY (r + u) / n, h, doc_id, size) - 1 AS p, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p * 16 // total)::INTEGER AS shard,
+       p - ((p * 16 // total) * total + 15) // 16 AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
