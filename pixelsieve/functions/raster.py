@@ -237,3 +237,49 @@ def simhash(hist: Column, vocabulary: int, bits: int) -> Column:
     signs = ds.simhash_signs(vocabulary, bits).T
     votes = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in signs])
     return pack(F.transform(votes, lambda row: _sum(F.zip_with(hist, row, lambda c, s: c * s)) > 0))
+
+
+# Projections of pixels and vectors
+
+
+def normalize(x: Column) -> Column:
+    """Scaled to 0..1 by the smallest and the largest value; nulls where all are equal."""
+    both = F.struct(x.alias("x"), F.array_min(x).cast("double").alias("lo"), F.array_max(x).cast("double").alias("hi"))
+    return let(both, lambda s: F.transform(s["x"], lambda v: F.when(s["hi"] > s["lo"], (v - s["lo"]) / (s["hi"] - s["lo"]))))
+
+
+def z_score(p: Column) -> Column:
+    """Pixels over 255, less their mean, over their standard deviation (1 where that is below 1e-12)."""
+    scaled = F.transform(p, lambda v: v / 255.0)
+
+    def centred(x: Column) -> Column:
+        return let(F.struct(x.alias("x"), (_sum(x) / F.size(x)).alias("m")), lambda s: F.transform(s["x"], lambda v: v - s["m"]))
+
+    def spread(x: Column) -> Column:
+        s = F.sqrt(_sum(F.transform(x, lambda v: v * v)) / F.size(x))
+        return let(F.struct(x.alias("x"), F.when(s < 1e-12, 1.0).otherwise(s).alias("s")), lambda t: F.transform(t["x"], lambda v: v / t["s"]))
+
+    return let(let(scaled, centred), spread)
+
+
+def unit(x: Column) -> Column:
+    """Over its Euclidean length; a zero vector stays."""
+    norm = F.sqrt(_sum(F.transform(x, lambda v: v.cast("double") * v.cast("double"))))
+    return let(F.struct(x.alias("x"), norm.alias("n")), lambda s: F.transform(s["x"], lambda v: F.when(s["n"] > 0, v / s["n"]).otherwise(v.cast("double"))))
+
+
+def saturate(x: Column) -> Column:
+    """Doubles as bytes: rounded half away from 0, cut to 0..255."""
+    return F.transform(x, lambda v: F.greatest(F.lit(0.0), F.least(F.lit(255.0), round_half_away(v))).cast("int"))
+
+
+def top_left(p: Column, width: int, to_width: int, to_height: int) -> Column:
+    """The first columns of the first rows."""
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(to_height - 1)), lambda y: F.slice(p, y * width + 1, F.lit(to_width))))
+
+
+def longest_circular_run(flags: Column, n: int) -> Column:
+    """The longest run of true among n flags in a circle, n at most."""
+    step = lambda s, f: F.struct(F.when(f, s["run"] + 1).otherwise(0).alias("run"), F.when(f, F.greatest(s["best"], s["run"] + 1)).otherwise(s["best"]).alias("best"))
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
+    return F.aggregate(F.concat(flags, flags), start, step, lambda s: F.least(s["best"], F.lit(n)))

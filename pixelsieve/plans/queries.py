@@ -18,6 +18,7 @@ from pixelsieve.kernels import descriptors as ds
 from pixelsieve.kernels import imaging as im
 from pixelsieve.operators import hashers as hh
 from pixelsieve.operators import kernel_columns as kc
+from pixelsieve.operators import rasterize as rz
 from pixelsieve.operators import similarity as sim
 from pixelsieve.sources.images import colour_raster, gray_raster
 from pixelsieve.types import BlockMethod, Feature, Interpolation, Kind, Storage
@@ -479,6 +480,178 @@ def equal_groups(spark, sf_dir):
     return sim.equal_groups(rows, "vec_id", "hash")
 
 
+# Projections
+
+
+@_query("normalize", f"WITH {R8} SELECT vec_id, list_transform(p, lambda v: round((v - list_min(p))::DOUBLE / (list_max(p) - list_min(p)), 9)) AS values FROM r")
+def normalize(spark, sf_dir):
+    return r8(spark, sf_dir).select("vec_id", F.transform(rs.normalize(F.col("p")), lambda v: F.round(v, 9)).alias("values"))
+
+
+@_query(
+    "z_score",
+    f"WITH {R8}, m AS (SELECT vec_id, list_transform(p, lambda v: v / 255e0 - list_avg(p) / 255e0) AS c FROM r), s AS (SELECT vec_id, c, sqrt(list_sum(list_transform(c, lambda v: v * v)) / 64) AS s FROM m) SELECT vec_id, list_transform(c, lambda v: round(v / s, 6) + 0e0) AS values FROM s",
+)
+def z_score(spark, sf_dir):
+    return r8(spark, sf_dir).select("vec_id", _rounded(rs.z_score(F.col("p"))).alias("values"))
+
+
+@_query("unit_vector", f"WITH {R8} SELECT vec_id, list_transform(p, lambda v: round(v / sqrt(list_sum(list_transform(p, lambda u: (u * u)::DOUBLE))), 9)) AS values FROM r")
+def unit_vector(spark, sf_dir):
+    return r8(spark, sf_dir).select("vec_id", F.transform(rs.unit(F.col("p")), lambda v: F.round(v, 9)).alias("values"))
+
+
+@_query("saturate", "SELECT vec_id, list_transform(embedding, lambda e: greatest(0, least(255, round(e::DOUBLE * 100 + 100)))::INTEGER) AS pixels FROM embeddings")
+def saturate(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select("vec_id", rs.saturate(F.transform("embedding", lambda e: e.cast("double") * 100 + 100)).alias("pixels"))
+
+
+@_query("top_left", f"WITH {R8} SELECT vec_id, list_concat(p[1:3], p[9:11]) AS pixels FROM r")
+def top_left(spark, sf_dir):
+    return r8(spark, sf_dir).select("vec_id", rs.top_left(F.col("p"), 8, 3, 2).alias("pixels"))
+
+
+@_query(
+    "circular_run",
+    f"WITH {R8}, f AS (SELECT vec_id, list_transform(p[1:16], lambda v: v >= 120) AS f FROM r) SELECT vec_id, "
+    "coalesce(list_max(list_transform(range(16), lambda s: list_max(list_transform(range(1, 17), lambda n: CASE WHEN len(list_filter(range(n), lambda k: NOT f[CAST((s + k) % 16 + 1 AS INTEGER)])) = 0 THEN n ELSE 0 END)))), 0)::INTEGER AS run FROM f",
+)
+def circular_run(spark, sf_dir):
+    flags = F.transform(F.slice("p", 1, 16), lambda v: v >= 120)
+    return r8(spark, sf_dir).select("vec_id", rs.longest_circular_run(flags, 16).alias("run"))
+
+
+# From rows to rasters: a user's events by day of the month and hour
+
+
+@_query(
+    "rasterize",
+    """WITH c AS (SELECT user_id, day(ts) - 1 AS y, hour(ts) AS x, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT user_id, y * 24 + x AS k, least(255, n) AS v FROM c WHERE y < 30)
+SELECT user_id, sum(v)::DOUBLE AS m00, sum(v * (k % 24))::DOUBLE AS m10, sum(v * (k // 24))::DOUBLE AS m01, max(v)::INTEGER AS top FROM k GROUP BY user_id""",
+)
+def rasterize(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", (F.dayofmonth("ts") - 1).alias("y"), F.hour("ts").alias("x"), F.lit(1).alias("one"))
+    images = rz.rasterize(rows, "user_id", "y", "x", "one", 24, 30)
+    m = rs.raw_moments(F.col("raster.pixels"), 24)
+    return images.select("user_id", m.alias("m"), F.array_max("raster.pixels").alias("top")).select("user_id", "m.m00", "m.m10", "m.m01", "top")
+
+
+@_query("pixel_table", f"WITH {R8} SELECT vec_id, (k // 8)::INTEGER AS y, (k % 8)::INTEGER AS x, p[CAST(k + 1 AS INTEGER)] AS v FROM r, range(64) t(k)")
+def pixel_table(spark, sf_dir):
+    return rz.pixels(gray_images(spark, sf_dir), "vec_id", "raster")
+
+
+# Descriptors of 8 x 8 images that SQL can say: places and weights are written out
+
+_AT = "p[CAST(k + 1 AS INTEGER)]"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(str(int(v)) for v in values) + "]"
+
+
+def _turned_sql() -> str:
+    means = []
+    for d in range(24):
+        place, inside = ds._turned(8, 8, 15 * d) if d else (range(64), [True] * 64)
+        flat = [int(a) + 1 if b else 0 for a, b in zip(list(getattr(place, "ravel", lambda: place)()), list(getattr(inside, "ravel", lambda: inside)()), strict=True)]
+        means.append(_list(flat))
+    turned = f"list_transform([{', '.join(means)}], lambda t: list_transform(t, lambda i: CASE WHEN i = 0 THEN 0 ELSE p[i] END))"
+    block = "(q[CAST((b // 4) * 16 + (b % 4) * 2 + 1 AS INTEGER)] + q[CAST((b // 4) * 16 + (b % 4) * 2 + 2 AS INTEGER)] + q[CAST((b // 4) * 16 + (b % 4) * 2 + 9 AS INTEGER)] + q[CAST((b // 4) * 16 + (b % 4) * 2 + 10 AS INTEGER)]) / 4.0"
+    return f"t AS (SELECT vec_id, {turned} AS t FROM r), b AS (SELECT vec_id, flatten(list_transform(t, lambda q: list_transform(range(16), lambda b: {block} >= list_avg(q)))) AS bits FROM t)"
+
+
+@_query("block_mean_turned", _packed(R8 + ", " + _turned_sql(), "b"))
+def block_mean_turned(spark, sf_dir):
+    hasher = hh.BlockMean(width=8, height=8, block_width=2, block_height=2, method=BlockMethod.ROTATION)
+    return gray_images(spark, sf_dir).select("vec_id", hs.hash_to_string(hasher.hash("raster")).alias("hash"))
+
+
+def _zernike_sql() -> str:
+    basis = ds._zernike_basis(8, 8, 4)
+    sums = lambda part: f"list_transform([{', '.join(_numbers(c) for c in part.T)}], lambda w: list_sum(list_transform(range(64), lambda k: {_AT} / 255e0 * w[CAST(k + 1 AS INTEGER)])))"
+    n = _numbers([o[0] + 1 for o in ds.zernike_orders(4)])
+    return (
+        f"WITH {R8}, s AS (SELECT vec_id, {sums(basis.real)} AS re, {sums(basis.imag)} AS im FROM r), "
+        f"a AS (SELECT vec_id, list_transform(range(len(re)), lambda i: sqrt(re[CAST(i + 1 AS INTEGER)] ** 2 + im[CAST(i + 1 AS INTEGER)] ** 2) * {n}[CAST(i + 1 AS INTEGER)] / pi()) AS a FROM s) "
+        "SELECT vec_id, list_transform(a[2:], lambda v: round(v / a[1], 9) + 0e0) AS hash FROM a"
+    )
+
+
+@_query("zernike_small", _zernike_sql())
+def zernike_small(spark, sf_dir):
+    hasher = hh.Zernike(width=8, height=8, degree=4)
+    return gray_images(spark, sf_dir).select("vec_id", _rounded(hasher.hash("raster"), 9).alias("hash"))
+
+
+_BLUR3 = im.blur_taps(0, 1.0).tolist()
+
+
+def _spread(n: int) -> list[list[tuple[int, int]]]:
+    """For each place of a line, (place, weight) of the blur's neighbours."""
+    out = []
+    for x in range(n):
+        near = [(x, _BLUR3[3])]
+        for i in (1, 2, 3):
+            near += [(x - i if x - i >= 0 else i, _BLUR3[3 - i]), (x + i if x + i < n else n - 1 - i, _BLUR3[3 + i])]
+        out.append(near)
+    return out
+
+
+def _blurred_sql() -> str:
+    lines = _spread(8)
+    table = [[(a * 8 + b + 1, v * w) for a, v in lines[y] for b, w in lines[x]] for y in range(8) for x in range(8)]
+    places = "[" + ", ".join(f"[{_list(i for i, _ in row)}, {_list(w for _, w in row)}]" for row in table) + "]"
+    return f"u AS (SELECT vec_id, list_transform({places}, lambda t: (list_sum(list_transform(range(49), lambda k: p[t[1][CAST(k + 1 AS INTEGER)]] * t[2][CAST(k + 1 AS INTEGER)]))::BIGINT + 32768) >> 16) AS p FROM r)"
+
+
+_RINGS = 6
+_RING6 = "[" + ", ".join(_list(i + 1 for i in range(64) if ds._ring_of(8, 8, _RINGS)[i] == g) for g in range(_RINGS)) + "]"
+
+
+@_query(
+    "rash_small",
+    f"WITH {R8}, {_blurred_sql()}, m AS (SELECT vec_id, list_transform({_RING6}, lambda g: coalesce(list_avg(list_transform(g, lambda i: p[i])), 0)) AS m FROM u), "
+    f"c AS (SELECT vec_id, list_transform([{', '.join(_numbers(r) for r in im.dct_matrix(_RINGS)[1:])}], lambda w: list_sum(list_transform(range({_RINGS}), lambda k: m[CAST(k + 1 AS INTEGER)] * w[CAST(k + 1 AS INTEGER)]))) AS c FROM m), "
+    f"b AS (SELECT vec_id, list_transform(c, lambda v: v > list_sort(c)[3]) AS bits FROM c) SELECT vec_id, {_bytes('bits')} AS hash FROM b",
+)
+def rash_small(spark, sf_dir):
+    return gray_images(spark, sf_dir).select("vec_id", hs.hash_to_string(hh.RASH(width=8, height=8, rings=_RINGS).hash("raster")).alias("hash"))
+
+
+def _layout_sql() -> str:
+    c = im.dct_matrix(8)
+    r, g, b = _AT, "p[CAST(64 - k AS INTEGER)]", f"(255 - {_AT})"
+    planes = [
+        f"(19595 * {r} + 38470 * {g} + 7471 * {b} + 32768) >> 16",
+        f"greatest(0, least(255, floor((-11056 * {r} - 21712 * {g} + 32768 * {b} + 8421376) / 65536.0)))",
+        f"greatest(0, least(255, floor((32768 * {r} - 27440 * {g} - 5328 * {b} + 8421376) / 65536.0)))",
+    ]
+    ctes, parts = [], []
+    for n, (plane, keep) in enumerate(zip(planes, ds.CLD_COEFFICIENTS, strict=True)):
+        basis = "[" + ", ".join(_numbers([c[z // 8][y] * c[z % 8][x] for y in range(8) for x in range(8)]) for z in ds.ZIGZAG[:keep]) + "]"
+        ctes.append(f"y{n} AS (SELECT vec_id, list_transform({basis}, lambda w: list_sum(list_transform(range(64), lambda k: ({plane})::DOUBLE * w[CAST(k + 1 AS INTEGER)]))) AS c{n} FROM r)")
+        parts.append(f"[greatest(0, least(63, round(c{n}[1]::FLOAT::DOUBLE / 8 * 63 / 255)))::INTEGER] || list_transform(c{n}[2:], lambda v: greatest(0, least(31, round(v::FLOAT::DOUBLE / 16) + 16))::INTEGER)")
+    return f"WITH {R8}, {', '.join(ctes)} SELECT vec_id, {' || '.join(parts)} AS hash FROM y0 JOIN y1 USING (vec_id) JOIN y2 USING (vec_id)"
+
+
+@_query("cld_small", _layout_sql())
+def cld_small(spark, sf_dir):
+    return colour_images(spark, sf_dir).select("vec_id", hh.CLD(width=8, height=8).hash("raster").alias("hash"))
+
+
+@_query(
+    "hog_cells",
+    SQL["hog_gradients"].split("SELECT vec_id, list_transform(d, lambda v: round(sqrt")[0]
+    + """, m AS (SELECT vec_id, list_transform(d, lambda v: [sqrt((v[1] * v[1] + v[2] * v[2])::DOUBLE), CASE WHEN v[2] = 0 THEN 0e0 WHEN atan2(v[2], v[1]) < 0 THEN atan2(v[2], v[1]) * 180 / pi() + 180 ELSE atan2(v[2], v[1]) * 180 / pi() END]) AS m FROM g),
+h AS (SELECT vec_id, list_transform(range(4), lambda c: list_transform(range(9), lambda b: list_sum(list_concat([0e0], list_transform(list_filter(range(64), lambda k: (k // 32) * 2 + (k % 8) // 4 = c AND least(8, floor(m[CAST(k + 1 AS INTEGER)][2] / 20)) = b), lambda k: m[CAST(k + 1 AS INTEGER)][1]))))) AS h FROM m)
+SELECT vec_id, flatten(list_transform(h, lambda c: list_transform(c, lambda v: CASE WHEN list_max(c) > 0 THEN floor(v * 255 / list_max(c))::INTEGER ELSE 0 END))) AS hash FROM h""",
+)
+def hog_cells(spark, sf_dir):
+    return gray_images(spark, sf_dir).select("vec_id", hh.HOG(width=8, height=8, cell=4).hash("raster").alias("hash"))
+
+
 # Hashers whose kernels SQL can't say in reason; tests hold them against plain loops
 
 
