@@ -30,16 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unique_names(df: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df whose columns can be told apart by name, and what gives a frame of the same columns the old names. Of
+    columns with one name (names differ by more than case) the first keeps it; names with other characters than
+    letters, digits and underscores are put off too."""
+    seen, names = set(), []
+    for k, c in enumerate(df.columns):
+        names.append(c if c.lower() not in seen and c.replace("_", "a").isalnum() else f"__column{k}")
+        seen.add(c.lower())
+    old = df.columns
+    if names == old:
+        return df, lambda out: out
+    return df.toDF(*names), lambda out: out.toDF(*old)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under new names; other columns can't clash with an operator's own."""
+    df, _ = unique_names(df)
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
-def pass_through(df: DataFrame, *own: str) -> list[Column]:
-    """The input's columns that an operator hands on: those whose names it doesn't itself define."""
-    return [df[c] for c in df.columns if c not in own]
-
-
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

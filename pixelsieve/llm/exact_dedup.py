@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, cut, pick, read, utf8_views
+from pixelsieve.llm.common import batch, cut, pick, read, unique_names, utf8_views
 
 WHITESPACE = bytes([9, 10, 11, 12, 13, 32])
 #: A chunk ends where the mixed sum of the last WINDOW table values has MASK's bits all zero: 4 KiB on average.
@@ -116,15 +116,16 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group of equal normalised texts, all its columns kept."""
+    df, restore = unique_names(df)
     r = recipes(df, id_col, text_col)
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("id"), "sha", "copies")
     best = cut(r.groupBy("recipe").agg(F.min(order).alias("best")).select((-F.col("best.n")).alias("__n"), F.col("best.id").alias("__id"), F.col("best.sha").alias("__sha"), F.col("best.copies").alias("__copies")))
     text = F.coalesce(df[text_col], F.lit(""))
     sha = F.sha2(F.encode(F.translate(text, " \t\n\x0b\x0c\r", ""), "UTF-8"), 256)
-    on = df[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.length(text) == F.col("__n")) & (sha == F.col("__sha"))
-    single = df.join(best.filter("__copies = 1"), on, "left_semi")
-    repeated = df.join(best.filter("__copies > 1"), on, "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
+    on = lambda b: df[id_col].cast("long").eqNullSafe(b["__id"]) & (F.length(text) == b["__n"]) & (sha == b["__sha"])
+    once, often = best.filter("__copies = 1"), best.filter("__copies > 1")
+    single, repeated = df.join(once, on(once), "left_semi"), df.join(often, on(often), "left_semi")
+    return restore(single.unionByName(repeated.dropDuplicates([id_col, text_col])))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, cut, pick, read, utf8_views
+from pixelsieve.llm.common import batch, cut, pick, read, unique_names, utf8_views
 from pixelsieve.llm.components import connected_components
 
 #: Nodes of a candidate component that one task compares.
@@ -435,8 +435,9 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def drop_near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, but of each component only those with its smallest id."""
-    found = jaccard_components(df, k, percent, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return df.join(found, df[id_col].cast("long") == F.col("__gone"), "left_anti")
+    df, restore = unique_names(df)
+    gone = jaccard_components(df, k, percent, id_col, text_col).filter("component_id <> id").select(F.col("id").alias("__gone")).distinct()
+    return restore(df.join(gone, df[id_col].cast("long") == gone["__gone"], "left_anti"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

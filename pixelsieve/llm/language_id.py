@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, pick, read
+from pixelsieve.llm.common import batch, pick, read, unique_names
 
 DIMENSIONS = 1024
 SEED = 7
@@ -173,6 +173,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
 def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
     """The rows of df in one of the learned languages, with all their columns. Rejected are texts without a
     letter, and texts of REJECT_LETTERS letters or more that resemble no prototype."""
+    df, restore = unique_names(df)
     schema = df.schema
     langs = _predicted(prototypes)
 
@@ -188,7 +189,7 @@ def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
             keep = [p != UNKNOWN and (s >= reject_below or letters(t) < REJECT_LETTERS) for p, s, t in zip(said, scores, texts, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, schema)
+    return restore(df.mapInArrow(run, schema))
 
 
 def held_out(id_col: str = "doc_id"):

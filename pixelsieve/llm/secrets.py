@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import read
+from pixelsieve.llm.common import pick, read, unique_names
 
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_MIN = 6
@@ -98,8 +98,8 @@ def _suspicious(s: Column) -> Column:
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text (null: empty) and spans, array<struct<start,end,kind,text,value>> by start, then kind."""
-    clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), _OPEN + _CLOSE + _GROUP, _OTHER * 3)
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), clean.alias("clean"))
+    rows = pick(df, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("clean", F.translate("text", _OPEN + _CLOSE + _GROUP, _OTHER * 3))
     rows = rows.select(
         "id",
         "text",
@@ -137,10 +137,11 @@ def order(spans: Column) -> Column:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """df with every span of its texts replaced by mask (overlapping spans by one); other columns as they are.
     Rows without a span keep their very text, null included."""
+    df, restore = unique_names(df)
     out = df.columns
-    named = df.select(F.struct(*[F.col(c) for c in out]).alias("row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     # the row travels as the id, so that no join back is needed
-    found = scan(named.select("row", "__text"), "row", "__text")
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("row"), F.col(text_col).alias("__text"))
+    found = scan(named, "row", "__text")
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
@@ -151,7 +152,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
     spans = order(F.col("spans"))
     masked = F.when(F.size("spans") > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(f"id.{text_col}"))
-    return found.select(*[masked.alias(c) if c == text_col else F.col("id")[c].alias(c) for c in out])
+    return restore(found.select(*[masked.alias(c) if c == text_col else F.col("id")[c].alias(c) for c in out]))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

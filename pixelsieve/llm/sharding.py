@@ -11,7 +11,8 @@ third of all rows is thus spread over BUCKETS windows.
 
 Defined results: null or empty text has size 1; a null source is a source of its own; ties of the shuffle
 order are broken by id and size, and rows that are equal in all of these take neighbouring ranks; an empty
-table gives no rows; input columns named shard or slot are replaced.
+table gives no rows; input columns named shard or slot are replaced, and of columns with one name the second
+and later ones get another.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import read
+from pixelsieve.llm.common import read, unique_names
 
 SEED = 17
 #: Windows for each source, and for the whole order: a power of 16, as buckets are leading hex digits.
@@ -35,9 +36,11 @@ def interleave(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_c
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard)."""
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
+    df, _ = unique_names(df)
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     tie = [F.col(size_col)] if size_col else []
-    rows = df.select(*keep, F.col(source_col).alias("__s"), _hash(F.lit(seed), F.col(id_col)).alias("__h"), F.col(id_col).alias("__i"), *[t.alias("__z") for t in tie])
+    # The input's columns travel in one, so that none can clash with those below.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(source_col).alias("__s"), _hash(F.lit(seed), F.col(id_col)).alias("__h"), F.col(id_col).alias("__i"), *[t.alias("__z") for t in tie])
     rows = rows.withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
     order = ["__h", "__i", *["__z" for _ in tie]]
     # Rank in the source: rows of its earlier buckets, and the rank in the bucket.
@@ -66,7 +69,7 @@ def interleave(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_c
     placed = placed.join(F.broadcast(upto), F.col("__fb") == F.col("__cfb")).withColumn("__p", F.col("__ahead") + F.col("__p"))
     placed = placed.withColumn("shard", F.expr(f"cast(__p * {n_shards} div __all as int)"))
     first = F.expr(f"(shard * __all + {n_shards - 1}) div {n_shards}")
-    return placed.withColumn("slot", F.col("__p") - first).select(*keep, "shard", "slot")
+    return placed.withColumn("slot", F.col("__p") - first).select("row.*", "shard", "slot")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
