@@ -32,24 +32,34 @@ def bands(hash_: Column, length: int, threshold: int) -> Column:
     return F.array(*keys)
 
 
-def hamming_join(df: DataFrame, id_col: str, hash_col: str, length: int, threshold: int) -> DataFrame:
-    """All pairs (id_a < id_b) of rows whose hashes differ in at most `threshold` bits, with their distance.
-
-    Exact: candidates come from an equi join on bands, never from all pairs. A pair that shares several bands is
-    kept in the first of them alone, so that no distinct is needed. Equal hashes are one row on the way; their
-    pairs are made at the end. Very common bands are split by adaptive execution, as the join is a plain one."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h"))
-    groups = rows.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    keyed = groups.select("h", metrics.packed(F.col("h")).alias("words"), "ids", F.posexplode(bands(F.col("h"), length, threshold)).alias("at", "key"))
-    a = keyed.select("key", "at", F.col("h").alias("ha"), F.col("words").alias("wa"), F.col("ids").alias("a"))
-    b = keyed.select("key", F.col("h").alias("hb"), F.col("words").alias("wb"), F.col("ids").alias("b"))
-    near = a.join(b, "key").where(F.col("ha") < F.col("hb"))
+def classes(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
+    """A row for each distinct hash: h, id (the smallest of its rows), size. Counts are combined before the shuffle."""
+    return df.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
+
+
+def hamming_join(df: DataFrame, id_col: str, hash_col: str, length: int, threshold: int, expand: bool = False) -> DataFrame:
+    """Pairs of hashes that differ in at most `threshold` bits, with their distance: id_a, id_b, distance.
+
+    Exact: candidates come from an equi join on bands, never from all pairs, and a pair that shares several bands is
+    kept in the first of them alone, so that no distinct is needed. Very common bands are split by adaptive
+    execution, as the join is a plain one. Rows with one hash are one class, which its smallest id stands for; with
+    expand, every pair of rows (id_a < id_b) is returned instead, also those of one class."""
+    rows = classes(df, id_col, hash_col)
+    keyed = rows.select("h", "id", metrics.packed(F.col("h")).alias("words"), F.posexplode(bands(F.col("h"), length, threshold)).alias("at", "key"))
+    a = keyed.select("key", "at", F.col("h").alias("ha"), F.col("words").alias("wa"), F.col("id").alias("id_a"))
+    b = keyed.select("key", F.col("h").alias("hb"), F.col("words").alias("wb"), F.col("id").alias("id_b"))
+    near = a.join(b, "key").where(F.col("id_a") < F.col("id_b"))
     near = near.withColumn("distance", metrics.hamming_packed(F.col("wa"), F.col("wb"))).where(F.col("distance") <= threshold)
     all_a, all_b = bands(F.col("ha"), length, threshold), bands(F.col("hb"), length, threshold)
     first = F.array_position(F.zip_with(all_a, all_b, lambda x, y: x == y), F.lit(True)) - 1
     near = near.where(first == F.col("at"))
-    other = near.select(F.explode("a").alias("x"), "b", "distance").select("x", F.explode("b").alias("y"), "distance")
-    same = groups.where(F.size("ids") > 1).select(F.col("ids").alias("all"), F.explode("ids").alias("x")).select("x", F.explode("all").alias("y"), F.lit(0.0).alias("distance")).where("x < y")
+    if not expand:
+        return near.select("id_a", "id_b", "distance")
+    side = lambda h, i: df.select(F.col(hash_col).alias(h), F.col(id_col).alias(i))
+    other = near.select("ha", "hb", "distance").join(side("ha", "x"), "ha").join(side("hb", "y"), "hb").select("x", "y", "distance")
+    twice = rows.where("size > 1").select("h")
+    many = side("h", "x").join(twice, "h")
+    same = many.join(many.select("h", F.col("x").alias("y")), "h").where("x < y").select("x", "y", F.lit(0.0).alias("distance"))
     return other.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance")
 
 

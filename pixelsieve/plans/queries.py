@@ -460,6 +460,16 @@ _WORDS = R8 + ", w AS (SELECT vec_id, label, list_transform(p, lambda v: (v > ro
 q AS (SELECT x.vec_id AS id_a, y.vec_id AS id_b, list_sum(list_transform(range(16), lambda k: abs(x.b[CAST(k + 1 AS INTEGER)] - y.b[CAST(k + 1 AS INTEGER)])))::DOUBLE AS distance FROM w x JOIN w y ON x.vec_id < y.vec_id) SELECT * FROM q WHERE distance <= 2""",
 )
 def sim_join(spark, sf_dir):
+    rows = r8(spark, sf_dir).select("vec_id", rs.block_mean_hash(F.col("p"), 8, 8, 2, 2).alias("h"))
+    return sim.hamming_join(rows, "vec_id", "h", 2, 2, expand=True)
+
+
+@_query(
+    "sim_join_classes",
+    f"""WITH {R8}, w AS (SELECT vec_id, list_transform({_block_sql(2, 2)}, lambda v: (v >= list_avg(p))::INTEGER) AS b FROM r), c AS (SELECT b, min(vec_id) AS id FROM w GROUP BY b),
+q AS (SELECT x.id AS id_a, y.id AS id_b, list_sum(list_transform(range(16), lambda k: abs(x.b[CAST(k + 1 AS INTEGER)] - y.b[CAST(k + 1 AS INTEGER)])))::DOUBLE AS distance FROM c x JOIN c y ON x.id < y.id) SELECT * FROM q WHERE distance <= 2""",
+)
+def sim_join_classes(spark, sf_dir):
     rows = r8(spark, sf_dir).select("vec_id", rs.block_mean_hash(F.col("p"), 8, 8, 2, 2).alias("h"))
     return sim.hamming_join(rows, "vec_id", "h", 2, 2)
 

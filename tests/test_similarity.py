@@ -27,11 +27,16 @@ def distance(a, b):
 @pytest.mark.parametrize("length,threshold", [(8, 0), (8, 3), (8, 7), (2, 4), (5, 11)])
 def test_join(spark, length, threshold):
     rows = hashes(length, 150, length, 12)
-    got = {(r["id_a"], r["id_b"], r["distance"]) for r in sim.hamming_join(spark.createDataFrame(rows, "i long, h array<int>"), "i", "h", length, threshold).collect()}
+    got = {(r["id_a"], r["id_b"], r["distance"]) for r in sim.hamming_join(spark.createDataFrame(rows, "i long, h array<int>"), "i", "h", length, threshold, expand=True).collect()}
     want = {(i, j, float(distance(a, b))) for i, a in rows for j, b in rows if i < j and distance(a, b) <= threshold}
     assert got == want and want
-    pairs = sim.hamming_join(spark.createDataFrame(rows, "i long, h array<int>"), "i", "h", length, threshold)
+    pairs = sim.hamming_join(spark.createDataFrame(rows, "i long, h array<int>"), "i", "h", length, threshold, expand=True)
     assert pairs.count() == len(want)
+    first = {}
+    for i, h in rows:
+        first.setdefault(tuple(h), i)
+    classes = sim.hamming_join(spark.createDataFrame(rows, "i long, h array<int>"), "i", "h", length, threshold)
+    assert sorted(map(tuple, classes.collect())) == sorted((i, j, d) for i, j, d in want if d and first[tuple(rows[i][1])] == i and first[tuple(rows[j][1])] == j)
     assert "CartesianProduct" not in pairs._jdf.queryExecution().toString() and "NestedLoop" not in pairs._jdf.queryExecution().toString()
 
 
