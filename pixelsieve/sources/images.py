@@ -29,6 +29,11 @@ def hash_files(spark: SparkSession, path: str, hasher, drop_invalid: bool = Fals
     return read_images(spark, path, drop_invalid).select("origin", hasher.hash(F.col("image")).alias("hash"))
 
 
+def hash_contents(df: DataFrame, hasher, content: str = "content", out: str = "hash") -> DataFrame:
+    """df with the hashes of a column of PNG bytes; null where they can't be decoded."""
+    return df.withColumn(out, hasher.hash(decode(content)))
+
+
 def write_hashes(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
     """Hashes as Parquet."""
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)

@@ -124,6 +124,9 @@ def test_png(spark):
             want = x[..., :3] if x.ndim == 3 else x
             assert np.array_equal(src.decode_png(png(x, filter_)), want)
     rows = spark.createDataFrame([(png(GRAY),), (b"junk",), (None,), (png(COLOUR),)], "content binary").select(src.decode("content").alias("r")).collect()
+    contents = spark.createDataFrame([(1, png(GRAY)), (2, b"junk")], "id long, content binary")
+    hashed = {r["id"]: r["hash"] for r in src.hash_contents(contents, hh.Average()).collect()}
+    assert hashed[2] is None and hashed[1] == rasters(spark, GRAY).select(hh.Average().hash("raster").alias("h")).first()["h"]
     assert [r["r"]["width"] for r in rows] == [61, None, None, 40] and rows[3]["r"]["pixels"] == COLOUR.ravel().tolist()
 
 
