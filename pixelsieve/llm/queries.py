@@ -30,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_sharding": sharding.OP2_SQL,
         "op5_jaccard_join": jaccard_join.OP5_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
+        "op10_secrets": secrets.OP10_SQL,
     }

@@ -168,3 +168,39 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(span_list(base), 256).alias("base_sha256"),
         span_list(F.col("spans")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """The same for DuckDB: positions from pieces between marks, as above; entropies window by window."""
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    marks = "chr(57344)", "chr(57346)"
+
+    def pieces(pattern: str, groups: bool) -> str:
+        inner = f"'\\1' || {marks[1]} || '\\2'" if groups else "'\\0'"
+        return f"string_split(regexp_replace(s, {quote(pattern)}, {marks[0]} || {inner} || {marks[0]}, 'g'), {marks[0]})"
+
+    def spans(column: str, kind: int) -> str:
+        at = f"list_transform({column}, lambda q: length(replace(q, {marks[1]}, '')))"
+        start = "coalesce(list_sum(n[1 : i - 1]), 0)::INTEGER"
+        struct = f"{{'s': {start}, 'k': {kind}, 'e': ({start} + n[i])::INTEGER, 'v': list_last(string_split({column}[i], {marks[1]}))}}"
+        return f"list_transform(list_filter(range(1, len({column}) + 1), lambda i: i % 2 = 0), lambda i: {struct.replace('n[', f'({at})[')})"
+
+    least = f"CASE WHEN regexp_matches(v, '^[0-9]+$') THEN {THRESHOLDS['digits']} WHEN regexp_matches(v, '^([0-9a-f]+|[0-9A-F]+)$') THEN {THRESHOLDS['hex']} WHEN regexp_matches(v, '^[A-Za-z0-9]+$') THEN {THRESHOLDS['alnum']} ELSE {THRESHOLDS['base64']} END"
+    chars = f"string_split(substr(x.v, (w + 1)::INTEGER, {WINDOW}), '')"
+    count = f"len(list_filter({chars}, lambda z: z = c))"
+    entropy = f"list_max(list_transform(range(length(x.v) - {WINDOW - 1}), lambda w: log2({WINDOW}) - list_sum(list_transform(list_distinct({chars}), lambda c: {count} * log2({count}))) / {WINDOW}))"
+    said = lambda c: f"array_to_string(list_transform(list_sort({c}), lambda x: ['assign', 'access', 'hex', 'entropy'][x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    short = lambda c: f"list_transform({c}, lambda x: {{'s': x.s, 'k': x.k, 'e': x.e}})"
+    kinds = ", ".join(f"len(list_filter(base, lambda x: x.k = {k}))::BIGINT AS n_{n}" for k, n in enumerate(KINDS[:3]))
+    return f"""
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345) || chr(57346), repeat(chr(65533), 3)) AS s FROM documents),
+p AS (SELECT doc_id, {pieces(ASSIGN, True)} AS p0, {pieces(ACCESS, False)} AS p1, {pieces(HEX, False)} AS p2, {pieces(CANDIDATE, False)} AS p3 FROM t),
+b AS (SELECT doc_id, list_filter({spans('p0', 0)}, lambda x: length(x.v) >= {ASSIGN_MIN}) || {spans('p1', 1)} || {spans('p2', 2)} AS base, {spans('p3', 3)} AS c FROM p),
+f AS (SELECT doc_id, base, list_filter(c, lambda x: regexp_matches(x.v, '[0-9]') AND regexp_matches(x.v, '[A-Za-z]') AND NOT regexp_matches(x.v, {quote(ALLOW)})
+  AND len(list_filter(base, lambda y: y.s < x.e AND x.s < y.e)) = 0) AS c FROM b),
+e AS (SELECT doc_id, base, list_filter(c, lambda x: {entropy} >= {least.replace('(v,', '(x.v,')}) AS added FROM f)
+SELECT doc_id, {kinds}, sha256({said(short('base'))}) AS base_sha256, {said(short('base || added'))} AS spans FROM e
+"""
+
+
+OP10_SQL = _sql()
