@@ -25,8 +25,8 @@ from pixelsieve.llm.common import batch, pick, read
 K = 8
 SKETCHES = 64
 TUPLE = 2
-#: Ranges of ids that are sorted on their own.
-RANGES = 256
+#: Ranges of ids that are sorted on their own, for each shuffle partition.
+RANGES = 4
 
 _rng = np.random.default_rng(881)
 _MULTIPLY = (_rng.integers(0, 2**31, SKETCHES, dtype=np.uint32) * np.uint32(2)) | np.uint32(1)
@@ -125,16 +125,29 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, "id long, fingerprint string")
 
 
-def in_order_with_next(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
+def _number_below(points: list[int], column: str):
+    """How many of the ascending points are below a column's value, by halving steps."""
+    if not points:
+        return F.lit(0)
+    n = len(points)
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    known = f"cast(split('{','.join(map(str, points))}', ',') as array<bigint>)"
+    step = f"if(at + step <= {n} and element_at({known}, least(at + step, {n})) < {column}, at + step, at)"
+    return F.expr(f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> {step})")
+
+
+def in_order_with_next(df: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """fn over an iterator of (id, text, next text) in ascending order of id, the last followed by the first.
 
-    Ids are dealt to `ranges` ranges at given percentiles; a range's last row needs the first row of the next
-    range, so that row is copied to the range before. Texts move once, and no task sorts more than its ranges."""
+    Ids are dealt to ranges at given percentiles (RANGES for each shuffle partition); a range's last row needs the
+    first row of the next range, so that row is copied to the range before. Texts move once, and no task sorts
+    more than its ranges, which get no larger as the input and with it the number of partitions grow."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges or max(64, RANGES * tasks)
     rows = pick(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     points = rows.select(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] or []
     points = sorted(set(points))
-    bucket = F.coalesce(F.expr(f"cast(size(filter(array({', '.join(f'{p}L' for p in points)}), p -> p < id)) as int)") if points else F.lit(0), F.lit(0))
-    rows = rows.withColumn("bucket", bucket).withColumn("tie", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", F.coalesce(_number_below(points, "id"), F.lit(0))).withColumn("tie", F.xxhash64("text"))
     least = rows.groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("n"), "id", "tie")).alias("first"))
     firsts = sorted((r["bucket"], r["first"]["n"], r["first"]["id"], r["first"]["tie"]) for r in least.collect())  # at most `ranges` rows
     before = {b: firsts[k - 1][0] for k, (b, *_) in enumerate(firsts)}
@@ -147,7 +160,6 @@ def in_order_with_next(df: DataFrame, fn, schema: str, id_col: str = "doc_id", t
     joined = rows.join(F.broadcast(copies), same, "left")  # at most `ranges` rows
     dealt = joined.select("id", "text", "tie", F.explode(F.when(F.col("to").isNotNull(), F.array(own, copied)).otherwise(F.array(own))).alias("where"))
     dealt = dealt.select("id", "text", "tie", "where.bucket", "where.copy")
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket", "copy", "id", "tie")
 
     def stream(batches):

@@ -83,3 +83,20 @@ def test_sample(spark):
     assert got == want(rows)
     assert len({g[3] for g in got}) <= len({t for _, t in rows})
     assert sorted(r["fingerprint"] for r in X.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).collect()) == sorted(g[3] for g in got)
+
+
+def test_number_below(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 3, 7, 8, 100, 1000):
+        points = sorted(rng.sample(range(-5000, 5000), n))
+        ids = [rng.randrange(-6000, 6000) for _ in range(200)] + points
+        got = spark.createDataFrame([(i,) for i in ids], "id long").select("id", X._number_below(points, "id").alias("n")).collect()
+        assert all(r["n"] == sum(p < r["id"] for p in points) for r in got)
+
+
+def test_many_ranges(spark):
+    rows = [(i * 7 % 1009, f"text number {i} " * 3) for i in range(1009)]
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = X.in_order_with_next(df, X._pairs, schema, ranges=300).collect()
+    assert sorted(tuple(r) for r in out) == sorted(want(rows), key=lambda r: r[0])
