@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, pick, read
+from pixelsieve.llm.common import batch, pick, read, remember_for, slices, tidied
 
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Words whose encoding a worker remembers; beyond it the memory starts anew.
@@ -222,11 +222,13 @@ class Remembered(dict):
         return value
 
 
+@remember_for(__name__, "pixelsieve.llm.packing")
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@remember_for(__name__)
 @functools.lru_cache(maxsize=1)
 def remembered_pieces(path: str) -> Remembered:
     """By piece, its ids (decimal, joined by a space) and their decoded text; one for all tasks of a worker."""
@@ -243,19 +245,16 @@ def _encoded(path: str):
     def run(batches):
         vocab, remembered = vocabulary(path), remembered_pieces(path)
         names, types = ["id", "n_tokens", "ids", "decoded"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            ids = b.column("id").to_pylist()
-            # a few texts at a time, as ids take more room than the text
-            for lo in range(0, len(texts), 64):
-                rows = []
-                for i, text in zip(ids[lo : lo + 64], texts[lo : lo + 64], strict=True):
-                    pairs = [remembered[p] for p in vocab.pieces(text or "")]
-                    said = " ".join([p[0] for p in pairs])
-                    rows.append((i, said.count(" ") + 1 if pairs else 0, said, " ".join([p[1] for p in pairs])))
-                yield batch(names, types, list(zip(*rows, strict=True)))
+        # a few texts at a time, as ids take more room than the text
+        for b in slices(batches, 64):
+            rows = []
+            for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                pairs = [remembered[p] for p in vocab.pieces(text or "")]
+                said = " ".join([p[0] for p in pairs])
+                rows.append((i, said.count(" ") + 1 if pairs else 0, said, " ".join([p[1] for p in pairs])))
+            yield batch(names, types, list(zip(*rows, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -273,7 +272,7 @@ def _digests(path: str):
         for b in inner(batches):
             yield batch(names, types, [b.column("id"), b.column("n_tokens"), sha(b.column("ids")), sha(b.column("decoded"))])
 
-    return run
+    return tidied(run)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, read
+from pixelsieve.llm.common import batch, read, tidied
 
 START, END = "<|im_start|>", "<|im_end|>"
 _OPENING, _ESCAPED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -201,7 +201,7 @@ def format_turns(records: DataFrame, record_col: str = "record", mappings=MAPPIN
                 yield batch(names, types, list(zip(*rows, strict=True)))
 
     src = records.select(F.col(record_col).alias("record"), F.monotonically_increasing_id().alias("no"))
-    return src.mapInArrow(run, _FORMATTED)
+    return src.mapInArrow(tidied(run), _FORMATTED)
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = turns.filter("mapping is not null").select("conversation", "turn", "role", "formatted", "text_start", "text_end", "trained")
     rows = rows.repartition(tasks, "conversation").sortWithinPartitions("conversation", "turn", "role", "formatted")
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,12 +51,44 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
-def text_or_empty(c: str | Column) -> Column:
-    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: 0
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+#: What forgets the values that a worker remembers, by the modules that use them.
+_MEMOS: dict[Callable[[], None], tuple[str, ...]] = {}
+
+
+def remember_for(*modules: str):
+    """Marks a cached function (of functools) whose values live as long as a worker runs tasks of these modules."""
+
+    def put(cached):
+        _MEMOS[cached.cache_clear] = modules
+        return cached
+
+    return put
+
+
+def tidied(run):
+    """A function over batches for workers that live on: what other operators remember is forgotten when a task
+    begins, and freed memory is handed back to the system when it ends, as both would count against the executor."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        for forget, modules in _MEMOS.items():
+            if run.__module__ not in modules:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()(0)
+
+    return wrapped
 
 
 def batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
@@ -63,6 +96,13 @@ def batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def utf8_views(column: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 bytes of each string of an Arrow column without copies; null counts as empty."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, cut, pick, read, unique_names, utf8_views
+from pixelsieve.llm.common import batch, cut, pick, read, tidied, unique_names, utf8_views
 
 WHITESPACE = bytes([9, 10, 11, 12, 13, 32])
 #: A chunk ends where the mixed sum of the last WINDOW table values has MASK's bits all zero: 4 KiB on average.
@@ -69,6 +69,7 @@ def chunks_of(data: bytes) -> list[tuple[int, int, int, int]]:
     return out
 
 
+@tidied
 def _scan(batches):
     names, types = ["id", "n_chars", "sha", "chunks"], [pa.int64(), pa.int64(), pa.string(), pa.list_(_CHUNK)]
     for b in batches:

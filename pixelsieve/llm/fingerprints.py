@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, pick, read
+from pixelsieve.llm.common import batch, pick, read, tidied
 
 K = 8
 SKETCHES = 64
@@ -122,7 +122,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield batch(["id", "fingerprint"], [pa.int64(), pa.string()], [b.column("id"), said])
 
     rows = pick(df, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, "id long, fingerprint string")
+    return rows.mapInArrow(tidied(run), "id long, fingerprint string")
 
 
 def _number_below(points: list[int], column: str):
@@ -174,7 +174,7 @@ def in_order_with_next(df: DataFrame, fn, schema: str, id_col: str = "doc_id", t
     def run(batches):
         yield from fn(stream(batches))
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidied(run), schema)
 
 
 def _pairs(rows):

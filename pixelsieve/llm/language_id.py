@@ -17,18 +17,19 @@ are not read.
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, pick, read, unique_names
+from pixelsieve.llm.common import batch, pick, read, slices, tidied, unique_names
 
 DIMENSIONS = 1024
 SEED = 7
 #: Trigram vectors that a worker remembers.
-REMEMBERED = 24_000
+REMEMBERED = 16_000
 UNKNOWN = "und"
 #: A text of at least so many letters is in none of the learned languages below this cosine to every prototype;
 #: in shorter ones a low cosine says nothing.
@@ -97,6 +98,7 @@ class Profiles:
         return [rows[k] for k in keys]
 
 
+@tidied
 def _sums(batches):
     """For each language the trigram counts of this task's texts, bundled at the end."""
     counts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -110,13 +112,13 @@ def _sums(batches):
         np.add.at(total, place, n)
         counts[lang], held[lang] = [(unique, total)], 0
 
-    for b in batches:
+    for b in slices(batches):
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
             keys, n = trigrams(text)
             if len(keys):
                 counts.setdefault(lang, []).append((keys, n))
                 held[lang] = held.get(lang, 0) + len(keys)
-                if held[lang] > 2_000_000:
+                if held[lang] > 400_000:
                     merge(lang)
     at = np.arange(DIMENSIONS, dtype=np.int32)
     for lang in counts:
@@ -144,7 +146,7 @@ def _predicted(prototypes: dict[str, np.ndarray]):
 
     def run(batches):
         profiles = Profiles()
-        for b in batches:
+        for b in slices(batches, 1024):
             said, scores = [], []
             for text in b.column("text").to_pylist():
                 keys, counts = trigrams(text) if text else (np.zeros(0), None)
@@ -161,7 +163,7 @@ def _predicted(prototypes: dict[str, np.ndarray]):
             arrays = [b.column(n) for n in others] + [pa.array(said, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "lang_pred", "score"])
 
-    return run
+    return tidied(run)
 
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,15 +183,15 @@ def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         return sum(map(str.isalpha, text or ""))
 
     def run(batches):
-        for b in batches:
+        texts_of = lambda b: pa.RecordBatch.from_arrays([b.column(b.schema.names.index(text_col))], names=["text"])
+        ahead, again = itertools.tee(slices(batches, 1024))
+        for b, got in zip(again, langs(map(texts_of, ahead)), strict=True):
             at = b.schema.names.index(text_col)
-            text = pa.RecordBatch.from_arrays([b.column(at)], names=["text"])
-            got = next(iter(langs([text])))
             said, scores, texts = got.column("lang_pred").to_pylist(), got.column("score").to_pylist(), b.column(at).to_pylist()
             keep = [p != UNKNOWN and (s >= reject_below or letters(t) < REJECT_LETTERS) for p, s, t in zip(said, scores, texts, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return restore(df.mapInArrow(run, schema))
+    return restore(df.mapInArrow(tidied(run), schema))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelsieve.llm import bpe
-from pixelsieve.llm.common import batch, cut, pick, read
+from pixelsieve.llm.common import batch, cut, pick, read, remember_for, slices, tidied
 
 CAPACITY = 4096
 END_ID = 1
@@ -170,6 +170,7 @@ class WordIds:
                     young[p] = np.array(vocab.encode_piece(p), "<u4").tobytes()
 
 
+@remember_for(__name__)
 @functools.lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -182,21 +183,18 @@ def _tokenized(path: str, capacity: int):
         known = word_ids(path)
         end = np.array([END_ID], "<u4").tobytes()
         names, types = ["id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            ids, column = b.column("id").to_pylist(), b.column("text").to_pylist()
-            for lo in range(0, len(ids), 256):
-                pieces = [known.vocab.pieces(t or "") for t in column[lo : lo + 256]]
-                get = known.know(pieces).__getitem__
-                for i, words in zip(ids[lo : lo + 256], pieces, strict=True):
-                    data = b"".join([*map(get, words), end])
-                    for k in range(0, len(data), 4 * capacity):
-                        part = data[k : k + 4 * capacity]
-                        rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            if rows:
-                yield batch(names, types, list(zip(*rows, strict=True)))
+            pieces = [known.vocab.pieces(t or "") for t in b.column("text").to_pylist()]
+            get = known.know(pieces).__getitem__
+            for i, words in zip(b.column("id").to_pylist(), pieces, strict=True):
+                data = b"".join([*map(get, words), end])
+                for k in range(0, len(data), 4 * capacity):
+                    part = data[k : k + 4 * capacity]
+                    rows.append((i, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
+            yield batch(names, types, list(zip(*rows, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -225,7 +223,7 @@ def _placed(runs: list[Run]):
             arrays = [*out.columns, pa.array(sequence[k] + within // each[k]), pa.array(offset[k] + within % each[k] * x)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*out.schema.names, "sequence_id", "offset"])
 
-    return run
+    return tidied(run)
 
 
 def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, ensure_checkpoint_dir, pick, read, utf8_views
+from pixelsieve.llm.common import batch, ensure_checkpoint_dir, pick, read, tidied, utf8_views
 from pixelsieve.llm.jaccard_join import _powers, mix
 
 LENGTH = 400
@@ -132,6 +132,7 @@ def _next_names(t: Text, p, near, far, length: int, level: int):
 # Packs: many texts in one row
 
 
+@tidied
 def _pack(batches):
     task = TaskContext.get()
     base, count = (task.partitionId() if task else 0) << 32, 0
@@ -225,7 +226,7 @@ def _ask_first(length: int, buckets: int):
         if (out := q.rows()) is not None:
             yield out
 
-    return run
+    return tidied(run)
 
 
 def _listed(b: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
@@ -262,9 +263,10 @@ def _ask_next(length: int, buckets: int, level: int):
         if (out := q.rows()) is not None:
             yield out
 
-    return run
+    return tidied(run)
 
 
+@tidied
 def _answered(batches):
     """Of a bucket's questions those whose shared text repeats, by whether all their text does; and a witness of
     each range that repeats, where others with its shared text are open."""
@@ -343,7 +345,7 @@ def _removed(length: int):
                     at += n
                 yield batch(names, types, list(zip(*rows, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 def _digested(length: int):
@@ -358,7 +360,7 @@ def _digested(length: int):
             spans = [len(s) for s in b.column("spans").to_pylist()]
             yield batch(names, types, [b.column("id"), n, [x - len(k) for x, k in zip(n, kept, strict=True)], spans, [hashlib.sha256(k).hexdigest() for k in kept]])
 
-    return run
+    return tidied(run)
 
 
 def _stored(df: DataFrame) -> DataFrame:
