@@ -7,9 +7,14 @@ only sets that share names can link.
 
 Light classes (small sets, where H is small) enumerate subsets: H + 2 parts, and one name for each subset of
 two parts. Heavy classes (large sets) name single parts, and the list of sets under each name is scanned. The
-boundary follows from cost, for the number of sets of each class: names, and comparisons of pairs that are
-expected to meet by chance. In heavy classes a set that shares fewer than t of its names with any other set links with
-nothing and goes, which leaves documents that only share a passage out of what follows.
+boundary follows from cost, for the number of sets of each class: names, list entries that are expected to meet
+by chance, and the comparisons of light sets that do, as one name makes them candidates.
+
+As linked sets share t names, a single one in common is no candidate. Names that few sets have give pairs, which
+are counted; names that many sets have are counted by set. A pair is a candidate if its count, and the number of
+such long lists that both sets are on, can add up to t. Sets that are on t long lists or more are connected by
+way of these lists, each list's first set with the others. This leaves documents that only share a passage out
+of what follows, without a pair of a long list ever being made.
 
 Equal sets are one node throughout. Nodes that share names, by way of any chain, form a candidate component;
 all pairs in it are compared, by matrix products over the shingles that occur twice. A component of more than
@@ -32,16 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, cut, pick, read, unique_names, utf8_views
+from pixelsieve.llm.common import batch, cut, pick, read, tidied, unique_names, utf8_views
 from pixelsieve.llm.components import connected_components
 
 #: Nodes of a candidate component that one task compares.
-BLOCK = 1000
+BLOCK = 500
 #: Spare parts of heavy classes, as a share of H.
-SPARE = 0.15
-#: For the cost of a boundary: the chance that a shingle of one set is in another set of its size, and what it
-#: costs to compare a pair that meets by chance, in names.
-CHANCE, COMPARE = 0.05, 0.5
+SPARE = 0.3
+#: Names that at most so many nodes have give pairs of nodes; longer lists are scanned.
+SHORT = 8
+#: For the cost of a boundary, in names: the chance that a shingle of one set is in another set of its size, what a
+#: pair on a short list costs that meets by chance, and what it costs to compare a shingle of two sets.
+CHANCE, FOLLOW, COMPARE = 0.05, 0.3, 0.005
 
 _U = np.uint64
 _rng = np.random.default_rng(20170917)
@@ -156,7 +163,9 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
         parts = h + (2 if light else max(1, int(SPARE * h)))
         names = parts * (parts - 1) / 2 if light else parts
         held = classes.low[c] / parts * (2 if light else 1)
-        return n * names + COMPARE * n * n * min(1.0, names * CHANCE**held)
+        meets = CHANCE**held if h else 0.0  # where H is 0 only equal sets have a name in common
+        compared = classes.low[c] * n * n * min(1.0, names * meets) if light else 0
+        return n * names * (1 + FOLLOW * min(SHORT, n * meets)) + COMPARE * compared
 
     top = max(sizes, default=0) + 1
     costs = [sum(cost(c, n, c < b) for c, n in sizes.items()) for b in range(top + 1)]
@@ -211,7 +220,7 @@ def _sets(k: int, percent: int):
             if rows:
                 yield batch(cols, types, list(zip(*rows, strict=True)))
 
-    return run
+    return tidied(run)
 
 
 #: A name, and the node that has it; the node's lowest bit says whether it is that of the class below its own.
@@ -248,48 +257,60 @@ def _named(k: int, classes: Classes, buckets: int):
                     r["name"], r["node"] = found, node | below
                     out.append(r)
                     held += len(r)
-                if held > 1_000_000:
+                if held > 400_000:
                     yield flush()
                     out.clear()
                     held = 0
             if out:
                 yield flush()
 
-    return run
+    return tidied(run)
+
+
+_FOUND = "long boolean, a long, b long, n int"
 
 
+@tidied
 def _shared(batches):
-    """The names of one bucket that two nodes or more have."""
+    """Of one bucket's names that two nodes or more have: pairs of nodes with their number of names in common,
+    for names with few nodes; name and node, for others."""
 
-    def found(parts: list[bytes]) -> pa.RecordBatch | None:
+    def rows(long: bool, a, b, n) -> pa.RecordBatch:
+        return batch(["long", "a", "b", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int32()], [np.full(len(a), long), a, b, n])
+
+    def found(parts: list[bytes]):
         a = np.frombuffer(b"".join(parts), _RECORD)
         order = np.lexsort((a["node"], a["name"]))
         name, node = a["name"][order], a["node"][order]
         fresh = np.ones(len(a), bool)
         fresh[1:] = (name[1:] != name[:-1]) | (node[1:] >> 1 != node[:-1] >> 1)
-        order = order[fresh]
-        name = name[fresh]
+        name, node = name[fresh], node[fresh]
         starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        many = np.repeat(np.diff(np.append(starts, len(name))) > 1, np.diff(np.append(starts, len(name))))
-        a = a[order[many]]
-        if not len(a):
-            return None
-        return batch(["name", "node"], [pa.int64(), pa.int64()], [a["name"].copy().view(np.int64), a["node"].copy()])
+        size = np.diff(np.append(starts, len(name)))
+        many = np.repeat(size > SHORT, size)
+        if many.any():
+            yield rows(True, name[many].view(np.int64), node[many], np.ones(many.sum(), np.int32))
+        pairs = [np.empty((2, 0), np.int64)]
+        for g in range(2, SHORT + 1):
+            at = starts[size == g]
+            pairs += [np.stack((node[at + i], node[at + j])) for i in range(g) for j in range(i + 1, g)]
+        left, right = np.concatenate(pairs, axis=1)
+        if len(left):
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            at = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
+            yield rows(False, left[at], right[at], np.diff(np.append(at, len(left))).astype(np.int32))
 
     now, parts = None, []
     for b in batches:
         for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
             if bucket != now and parts:
-                out = found(parts)
-                if out is not None:
-                    yield out
+                yield from found(parts)
                 parts = []
             now = bucket
             parts.append(data)
     if parts:
-        out = found(parts)
-        if out is not None:
-            yield out
+        yield from found(parts)
 
 
 def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> np.ndarray:
@@ -307,7 +328,7 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> np
     owner = owner[keep]
     common = np.zeros((g, g), np.float32)
     total = int(column[-1]) + 1 if len(column) else 0
-    width = max(256, (1 << 22) // g)
+    width = max(256, (1 << 21) // g)
     for lo in range(0, total, width):
         x, y = np.searchsorted(column, (lo, lo + width))
         m = np.zeros((g, min(width, total - lo)), np.float32)
@@ -318,8 +339,10 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> np
             common[:split, split:] += m[:split] @ m[split:].T
     if split is not None:
         common = common + common.T
-    both = common.astype(np.int64)
-    out = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    out = np.empty((g, g), bool)
+    for lo in range(0, g, 128):  # whole numbers take more room than the matrix
+        both = common[lo : lo + 128].astype(np.int64)
+        out[lo : lo + 128] = 100 * both >= percent * (sizes[lo : lo + 128, None] + sizes[None, :] - both)
     if split is not None:
         out[:split, :split] = False
         out[split:, split:] = False
@@ -339,13 +362,14 @@ def _compared(k: int, percent: int):
             return None  # one block of a pair is empty
         links = linked(sets, percent, split)
         rep, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        n = links @ copies
+        n = np.array([copies[row].sum() for row in links])
         some = np.flatnonzero(n)
         if not len(some):
             return None
         links, root = links[np.ix_(some, some)], rep[some].copy()
         while True:
-            new = np.minimum(root, np.where(links, root[None, :], np.iinfo(np.int64).max).min(axis=1))
+            least = [np.where(links[lo : lo + 128], root[None, :], np.iinfo(np.int64).max).min(axis=1) for lo in range(0, len(root), 128)]
+            new = np.minimum(root, np.concatenate(least))
             if np.array_equal(new, root):
                 break
             root = new
@@ -371,7 +395,7 @@ def _compared(k: int, percent: int):
             if out is not None:
                 yield out
 
-    return run
+    return tidied(run)
 
 
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -390,21 +414,29 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     heavy_from = boundary(sizes, percent)
     classes = Classes(percent, heavy_from)
     named = docs.filter("id is not null").mapInArrow(_named(k, classes, 4 * tasks), "bucket int, data binary")
-    shared = cut(named.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "name long, node long"))
+    shared = cut(named.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _FOUND))
     light_own, light_below = (F.col("n") <= (high[heavy_from - 1] if heavy_from else 0)), (F.col("n") <= (high[heavy_from] if heavy_from else 0))
     needs = F.array(
         F.struct(F.col("h1").alias("node"), F.when(light_own, 1).otherwise(F.col("own")).alias("need")),
         F.struct(F.col("h1").bitwiseOR(F.lit(1)).alias("node"), F.when(light_below, 1).otherwise(F.col("below")).alias("need")),
     )
-    needed = classes_of.select(F.explode(needs).alias("x")).select("x.*").filter("need is not null")
-    enough = shared.groupBy("node").agg(F.count("*").alias("n")).join(needed, "node").filter("n >= need").select("node").distinct()
-    live = shared.join(enough, "node").select("name", F.col("node").bitwiseAND(F.lit(-2)).alias("node"))
+    needed = classes_of.select(F.explode(needs).alias("x")).select("x.*").filter("need is not null").groupBy("node").agg(F.min("need").alias("need"))
+    on_lists = shared.filter("long").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("lists"))
+    nodes = needed.join(on_lists, "node", "left").select("node", "need", F.coalesce("lists", F.lit(0)).alias("lists"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("need").alias(f"need_{x}"), F.col("lists").alias(f"lists_{x}"))
+    pairs = shared.filter("not long").groupBy("a", "b").agg(F.sum("n").alias("n")).join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs.filter("n >= greatest(1, greatest(need_a, need_b) - least(lists_a, lists_b))")
+    whole = lambda c: F.col(c).bitwiseAND(F.lit(-2))
+    pairs = pairs.select(whole("a").alias("a"), whole("b").alias("b"))
+    enough = nodes.filter("lists >= need").select("node")
+    live = shared.filter("long").select(F.col("a").alias("name"), F.col("b").alias("node")).join(enough, "node").select("name", whole("node").alias("node"))
     first = live.groupBy("name").agg(F.min("node").alias("a"))
     stars = live.join(first, "name").filter("a <> node").select("a", F.col("node").alias("b"))
     # A node has an edge for each of its names; its first one, and edges from there to the others, which many
     # nodes have in common, connect the same.
     stars = stars.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"))
     stars = stars.select(F.element_at("all", 1).alias("a"), F.explode(F.concat(F.expr("slice(all, 2, size(all))"), F.array("b"))).alias("b"))
+    stars = stars.unionByName(pairs)
     candidates = connected_components(stars)  # node, root
 
     # Compare all nodes of a candidate component, in blocks where it is large.

@@ -80,6 +80,22 @@ def test_brute_force(spark, seed, k, percent, block):
     assert len({w[2] for w in want}) < len(rows)
 
 
+@pytest.mark.parametrize("short", [2, 3])
+def test_long_lists(spark, monkeypatch, short):
+    """With nearly all names on long lists. Workers of tests run in processes of their own, so that the bound is
+    set where they read it."""
+    spark_short = X._shared
+
+    def run_short(batches):
+        X.SHORT = short
+        return spark_short(batches)
+
+    monkeypatch.setattr(X, "_shared", run_short)
+    for k, percent in ((3, 90), (5, 80)):
+        rows = near_copies(10 + short)
+        assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent) == brute(rows, k, percent)
+
+
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_light_classes(spark, monkeypatch, k, percent):
     """With small sets by subsets of parts; a group of sets on both sides of the boundary."""
@@ -139,7 +155,7 @@ def test_linked_blocks():
 
 def test_boundary():
     assert X.boundary({}, 90) == 0 and X.boundary({3: 5}, 90) >= 0
-    assert X.boundary({c: 10**9 for c in range(25)}, 80) > X.boundary({c: 1 for c in range(6, 25)}, 80)
+    assert X.boundary({c: 10**4 for c in range(25)}, 80) > X.boundary({c: 10 for c in range(25)}, 80)
 
 
 def test_components(spark):
