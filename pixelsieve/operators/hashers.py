@@ -47,6 +47,13 @@ def images_of(rasters: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array(some), np.ascontiguousarray(x)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make fewer tasks than there are cores; hashing takes far longer than
+    moving a few small rasters. Larger inputs stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass(frozen=True, kw_only=True)
 class Hasher:
     """What all hashers share."""

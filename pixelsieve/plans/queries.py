@@ -49,12 +49,12 @@ def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gray_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r8(spark, sf_dir).select("vec_id", "label", gray_raster(F.col("p"), 8, 8).alias("raster"))
+    return hh.spread(r8(spark, sf_dir)).select("vec_id", "label", gray_raster(F.col("p"), 8, 8).alias("raster"))
 
 
 def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Red is R8, green R8 backwards, blue R8 turned upside down in brightness."""
-    rows = r8(spark, sf_dir)
+    rows = hh.spread(r8(spark, sf_dir))
     return rows.select("vec_id", colour_raster(F.col("p"), F.reverse("p"), F.transform("p", lambda v: 255 - v), 8, 8).alias("raster"))
 
 
@@ -354,11 +354,11 @@ for _i, _name in [
 
 
 def _pairs(spark, sf_dir, *columns):
-    return sim.pairs_within(r8(spark, sf_dir), "label", "vec_id", list(columns) or ["p"])
+    return sim.pairs_within(hh.spread(r8(spark, sf_dir)), "label", "vec_id", list(columns) or ["p"])
 
 
 def _hash_pairs(spark, sf_dir):
-    rows = r8(spark, sf_dir).select("vec_id", "label", rs.average_hash(F.col("p")).alias("h"))
+    rows = hh.spread(r8(spark, sf_dir)).select("vec_id", "label", rs.average_hash(F.col("p")).alias("h"))
     return sim.pairs_within(rows, "label", "vec_id", ["h"])
 
 
@@ -393,7 +393,7 @@ _metric_query("distance_override", _sum_sql("abs(X - Y)::DOUBLE"), lambda a, b:
 
 
 def _first16(spark, sf_dir):
-    rows = r8(spark, sf_dir).select("vec_id", "label", F.slice("p", 1, 16).alias("p"))
+    rows = hh.spread(r8(spark, sf_dir)).select("vec_id", "label", F.slice("p", 1, 16).alias("p"))
     return sim.pairs_within(rows, "label", "vec_id", ["p"])
 
 
@@ -480,7 +480,7 @@ def sim_join_classes(spark, sf_dir):
 FROM w x JOIN w y ON x.label = y.label AND x.vec_id <> y.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbour)::INTEGER AS rank FROM q) SELECT * FROM k WHERE rank <= 3""",
 )
 def knn(spark, sf_dir):
-    rows = r8(spark, sf_dir).select("vec_id", "label", metrics.packed(rs.average_hash(F.col("p"))).alias("h"))
+    rows = hh.spread(r8(spark, sf_dir)).select("vec_id", "label", metrics.packed(rs.average_hash(F.col("p"))).alias("h"))
     return sim.nearest(rows, "vec_id", "h", 3, metrics.hamming_packed, "label")
 
 
