@@ -109,7 +109,8 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     r = recipes(df, id_col, text_col)
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))
     groups = r.groupBy("recipe").agg(F.min(order).alias("best"), F.sum("copies").alias("group_size"))
-    groups = groups.select(F.col("recipe").alias("of"), F.col("best.id").alias("keep_id"), F.col("best.n").alias("best_n"), "group_size")
+    # Written first, as the join below is then one of two plain shuffles, in which a very common recipe is split.
+    groups = cut(groups.select(F.col("recipe").alias("of"), F.col("best.id").alias("keep_id"), F.col("best.n").alias("best_n"), "group_size"))
     joined = r.join(groups, F.col("recipe") == F.col("of"))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (-F.col("n_chars") == F.col("best_n"))
     return joined.select("id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), F.explode(F.expr("sequence(1, cast(copies as int))")).alias("copy")).drop("copy")
