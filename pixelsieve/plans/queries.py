@@ -404,10 +404,21 @@ SQL["pcc"] = f"WITH {_PCC} SELECT id_a, id_b, round(list_max(list_transform(rang
 
 @_query("pcc", SQL["pcc"])
 def pcc(spark, sf_dir):
+    """Of the first 16 values only, as its SQL; pcc_whole is of all 64."""
     rows = _first16(spark, sf_dir)
     return rows.select("id_a", "id_b", F.round(metrics.pcc(F.col("p_a"), F.col("p_b")), 6).alias("distance"))
 
 
+_PCC_WHOLE = _PAIRS + """,
+m AS (SELECT id_a, id_b, list_transform(x, lambda v: (v::FLOAT - list_avg(x)::FLOAT)::DOUBLE) AS x, list_transform(y, lambda v: (v::FLOAT - list_avg(y)::FLOAT)::DOUBLE) AS y, list_stddev_pop(x) * list_stddev_pop(y) + 1e-20 AS s FROM q)"""
+
+
+@_query("pcc_whole", f"WITH {_PCC_WHOLE} SELECT id_a, id_b, round(list_max(list_transform(range(64), lambda t: {_sum_sql('X * y[CAST((k - t + 64) % 64 + 1 AS INTEGER)]')} / 64 / s)), 6) AS distance FROM m")
+def pcc_whole(spark, sf_dir):
+    rows = _pairs(spark, sf_dir)
+    return rows.select("id_a", "id_b", F.round(metrics.pcc(F.col("p_a"), F.col("p_b")), 6).alias("distance"))
+
+
 @_query(
     "hash_functions",
     f"WITH {R8}, w AS (SELECT vec_id, label, p, list_transform(p, lambda v: v > round(list_avg(p))) AS bits FROM r) SELECT vec_id, {_bytes('bits')} AS text, 8 AS length, "

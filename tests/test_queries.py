@@ -1,6 +1,7 @@
 """Every query of the engine against the same in SQL."""
 
 import os
+import random
 import re
 from pathlib import Path
 
@@ -45,6 +46,25 @@ def test_rows(spark, name):
     assert q.QUERIES[name](spark, SF).count() > 0 or name.endswith("keypoints")
 
 
+def test_pcc_whole(spark, tmp_path):
+    """Values 17 to 64 count: pairs that agree on the first 16 differ."""
+    rng = random.Random(3)
+    first = [rng.uniform(-1, 1) for _ in range(16)]
+    rows = [(i, first + [rng.uniform(-1, 1) for _ in range(48)], 0) for i in range(4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pixels = {r["vec_id"]: r["p"] for r in q.r8(spark, str(tmp_path)).collect()}
+    mean = lambda x: sum(x) / 64
+    std = lambda x: (sum((v - mean(x)) ** 2 for v in x) / 64) ** 0.5
+
+    def brute(a, b):
+        return max(sum((a[k] - mean(a)) * (b[(k - t) % 64] - mean(b)) for k in range(64)) / 64 for t in range(64)) / (std(a) * std(b))
+
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in q.QUERIES["pcc_whole"](spark, str(tmp_path)).collect()}
+    assert len(got) == 6
+    for (a, b), value in got.items():
+        assert abs(value - brute(pixels[a], pixels[b])) < 2e-6 and value < 0.99
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(q.QUERIES) <= set(entry.queries())
