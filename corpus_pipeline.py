@@ -17,7 +17,8 @@ from pixelsieve.llm.common import ensure_checkpoint_dir, read
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in none of the languages that the labelled documents have."""
-    return language_id.keep_known(docs, language_id.train(docs))
+    prototypes, bounds = language_id.learn(docs)
+    return language_id.keep_known(docs, prototypes, bounds=bounds)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

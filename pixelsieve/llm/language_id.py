@@ -35,6 +35,10 @@ UNKNOWN = "und"
 #: in shorter ones a low cosine says nothing.
 REJECT_BELOW = 0.1
 REJECT_LETTERS = 200
+#: Cosines of unrelated texts stay below this (four standard deviations); a bound that isn't above it is not applied.
+NOISE = 4 / DIMENSIONS**0.5
+#: A band of lengths with fewer labelled texts takes in the shorter bands before it.
+BAND_TEXTS = 20
 
 
 @functools.lru_cache(maxsize=1)
@@ -130,14 +134,81 @@ def _sums(batches):
         yield batch(["lang", "at", "total"], [pa.string(), pa.int32(), pa.int64()], [[lang] * DIMENSIONS, at, total])
 
 
-def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """A unit prototype for each language of the labelled rows."""
+def _totals(df: DataFrame, text_col: str, lang_col: str) -> dict[str, np.ndarray]:
     rows = pick(df, text=text_col, lang=lang_col).filter("text is not null and lang is not null")
     sums = rows.mapInArrow(_sums, "lang string, at int, total long").groupBy("lang", "at").agg(F.sum("total").alias("total"))
     found: dict[str, np.ndarray] = {}
     for r in sums.collect():  # DIMENSIONS numbers a language
         found.setdefault(r["lang"], np.zeros(DIMENSIONS))[r["at"]] = r["total"]
-    return {lang: v / np.linalg.norm(v) for lang, v in sorted(found.items()) if v.any()}
+    return {lang: v for lang, v in sorted(found.items()) if v.any()}
+
+
+def _unit(totals: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {lang: v / np.linalg.norm(v) for lang, v in totals.items()}
+
+
+def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """A unit prototype for each language of the labelled rows."""
+    return _unit(_totals(df, text_col, lang_col))
+
+
+def letters(text: str | None) -> int:
+    return sum(map(str.isalpha, text or ""))
+
+
+def _band(n: int) -> int:
+    """Bands of lengths in letters: 1, 2 to 3, 4 to 7, ..."""
+    return n.bit_length() - 1
+
+
+def _least(totals: dict[str, np.ndarray]):
+    """By band, how many labelled texts a task has and their least best cosine; a text doesn't count in its own
+    language's prototype."""
+    langs = list(totals)
+    matrix = np.array([totals[x] for x in langs]) if langs else np.zeros((0, DIMENSIONS))
+    squares = (matrix * matrix).sum(axis=1)
+
+    def run(batches):
+        profiles = Profiles()
+        found: dict[int, tuple[int, float]] = {}
+        for b in slices(batches, 1024):
+            for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
+                keys, counts = trigrams(text)
+                if not len(keys) or lang not in totals:
+                    continue
+                v = profiles.bundle(keys, counts)
+                vv, dots, rest = v @ v, matrix @ v, squares.copy()
+                own = langs.index(lang)
+                rest[own] += vv - 2 * dots[own]
+                dots[own] -= vv
+                cosines = np.where(rest > 0, dots / np.sqrt(np.maximum(rest, 1) * (vv or 1.0)), 0.0)
+                n, least = found.get(_band(letters(text)), (0, 1.0))
+                found[_band(letters(text))] = (n + 1, min(least, float(cosines.max())))
+        if found:
+            n, least = zip(*found.values(), strict=True)
+            yield batch(["band", "n", "least"], [pa.int32(), pa.int64(), pa.float64()], [list(found), n, least])
+
+    return tidied(run)
+
+
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[dict[str, np.ndarray], dict[int, float]]:
+    """Prototypes, and by band of lengths the least cosine that a labelled text has without itself. Bands whose
+    least cosine noise reaches have no bound. All labelled rows count."""
+    totals = _totals(df, text_col, lang_col)
+    rows = pick(df, text=text_col, lang=lang_col).filter("text is not null and lang is not null")
+    least = rows.mapInArrow(_least(totals), "band int, n long, least double").groupBy("band").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    seen = {r["band"]: (r["n"], r["least"]) for r in least.collect()}  # a few dozen bands
+    bounds = {}
+    for band in range(max(seen, default=-1) + 1):
+        n, bound = 0, 1.0
+        for below in range(band, -1, -1):
+            if n >= BAND_TEXTS:
+                break
+            if below in seen:
+                n, bound = n + seen[below][0], min(bound, seen[below][1])
+        if n and bound > NOISE:
+            bounds[band] = bound
+    return _unit(totals), bounds
 
 
 def _predicted(prototypes: dict[str, np.ndarray]):
@@ -172,15 +243,19 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc
     return rows.mapInArrow(_predicted(prototypes), "id long, lang_pred string, score double")
 
 
-def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", reject_below: float = REJECT_BELOW) -> DataFrame:
+def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", reject_below: float = REJECT_BELOW, bounds: dict[int, float] | None = None) -> DataFrame:
     """The rows of df in one of the learned languages, with all their columns. Rejected are texts without a
-    letter, and texts of REJECT_LETTERS letters or more that resemble no prototype."""
+    letter, texts of REJECT_LETTERS letters or more that resemble no prototype, and texts below the bound of their
+    band of lengths; texts longer than all bands have the longest one's."""
     df, restore = unique_names(df)
     schema = df.schema
     langs = _predicted(prototypes)
+    longest = max(bounds or {}, default=0)
 
-    def letters(text: str | None) -> int:
-        return sum(map(str.isalpha, text or ""))
+    def stays(score: float, n: int) -> bool:
+        if n >= REJECT_LETTERS and score < reject_below:
+            return False
+        return score >= (bounds or {}).get(min(_band(n), longest), 0.0) - 1e-9
 
     def run(batches):
         texts_of = lambda b: pa.RecordBatch.from_arrays([b.column(b.schema.names.index(text_col))], names=["text"])
@@ -188,7 +263,7 @@ def keep_known(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
         for b, got in zip(again, langs(map(texts_of, ahead)), strict=True):
             at = b.schema.names.index(text_col)
             said, scores, texts = got.column("lang_pred").to_pylist(), got.column("score").to_pylist(), b.column(at).to_pylist()
-            keep = [p != UNKNOWN and (s >= reject_below or letters(t) < REJECT_LETTERS) for p, s, t in zip(said, scores, texts, strict=True)]
+            keep = [p != UNKNOWN and stays(s, letters(t)) for p, s, t in zip(said, scores, texts, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return restore(df.mapInArrow(tidied(run), schema))

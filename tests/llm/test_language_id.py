@@ -75,3 +75,27 @@ def test_keep_known(spark):
     kept = X.keep_known(docs.unionByName(bad), known)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} | {-4}
+
+
+RUSSIAN = "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства"
+FINNISH = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä."
+ITALIAN = "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza."
+
+
+def test_bounds_by_length(spark):
+    """Texts too short for the fixed bound, and unlearned languages above it, go; all labelled rows stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r for r in docs.collect() if len(r["text"]) > 400 and len(set(r["text"][:160].split())) > 15]  # one word over and over is noise
+    short = [doc(10_000 + i, r["text"][:160], lang=r["lang"]) for i, r in enumerate(rows)]
+    labelled = docs.unionByName(spark.createDataFrame(short, docs.schema))
+    known, bounds = X.learn(labelled)
+    assert all(np.array_equal(v, known[k]) for k, v in X.train(labelled).items()) and min(bounds.values()) > X.NOISE
+    strange = [doc(-1 - i, t, lang=None) for i, t in enumerate([RUSSIAN, FINNISH, ITALIAN, FINNISH * 2, ITALIAN * 2])]
+    table = labelled.unionByName(spark.createDataFrame([*strange, doc(-9, "ok", lang=None)], docs.schema))
+    kept = {r["doc_id"] for r in X.keep_known(table, known, bounds=bounds).collect()}
+    assert kept == {r["doc_id"] for r in labelled.collect()} | {-9}
+
+
+def test_no_bounds_without_labels(spark):
+    docs = spark.createDataFrame([doc(1, "some text", lang=None)], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    assert X.learn(docs) == ({}, {})
