@@ -5,7 +5,8 @@ WINDOW characters slides over each candidate string (a maximal run of ``[A-Za-z0
 characters that has a digit and a letter), its character counts are updated by the character that enters and
 the one that leaves, and the candidate is reported where the Shannon entropy of some window reaches the
 threshold of the candidate's character class. Added spans are suppressed where the candidate matches the allow
-list (placeholders, UUIDs) or where a base span overlaps it; base spans always stay.
+list (placeholders, UUIDs) or where a base span overlaps it; base spans always stay. ``redact`` also masks the
+parts of an overlapped candidate that no base span covers, where such a part alone reaches its threshold.
 
 Positions come from marks: a pattern is replaced by itself between private-use characters (such characters of
 the text are first replaced, one for one, by another that no pattern matches), the marked text is split at the
@@ -96,8 +97,30 @@ def _suspicious(s: Column) -> Column:
     return s.rlike("[0-9]") & s.rlike("[A-Za-z]") & ~s.rlike(ALLOW) & (best_entropy(s) >= threshold(s))
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (null: empty) and spans, array<struct<start,end,kind,text,value>> by start, then kind."""
+def _uncovered(x: Column, base: Column) -> Column:
+    """The parts of a candidate that no base span covers, of WINDOW characters at least, as spans. Characters at a
+    part's ends that join words (``/_=-+``) belong to it."""
+    over = F.array_sort(F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    parts = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    start = F.struct(x["start"].alias("at"), parts.alias("parts"))
+    part = lambda a, e: F.array(F.struct(a.alias("start"), e.alias("end")))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], part(acc["at"], b["start"])).alias("parts"))
+
+    gaps = F.aggregate(over, start, step, lambda acc: F.concat(acc["parts"], part(acc["at"], x["end"])))
+    long = F.filter(gaps, lambda g: g["end"] - g["start"] >= WINDOW)
+
+    def span(g: Column) -> Column:
+        text = F.substring(x["text"], g["start"] - x["start"] + 1, g["end"] - g["start"])
+        return F.struct(g["start"].alias("start"), g["end"].alias("end"), F.lit(3).alias("kind"), text.alias("text"), text.alias("value"))
+
+    return F.transform(long, span)
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", parts: bool = False) -> DataFrame:
+    """id, text (null: empty) and spans, array<struct<start,end,kind,text,value>> by start, then kind. With parts,
+    what base spans leave of a candidate is scored too; otherwise a candidate that one touches is left out."""
     rows = pick(df, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("clean", F.translate("text", _OPEN + _CLOSE + _GROUP, _OTHER * 3))
     rows = rows.select(
@@ -117,6 +140,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         F.filter(_spans(F.col("m3"), 3, False), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")).alias("s3"),
     )
     rows = rows.select("id", "text", F.concat("s0", "s1", "s2").alias("base"), "s3")
+    if parts:
+        touched = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+        s3 = F.flatten(F.transform("s3", lambda x: F.when(touched(x), _uncovered(x, F.col("base"))).otherwise(F.array(x))))
+        rows = rows.select("id", "text", "base", F.when((F.size("s3") > 0) & (F.size("base") > 0), s3).otherwise(F.col("s3")).alias("s3"))
     added = F.filter("s3", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & _suspicious(x["text"]))
     rows = rows.select("id", "text", "base", F.when(F.size("s3") > 0, added).otherwise(F.col("s3")).alias("added"))
     return rows.select("id", "text", F.array_sort(F.concat("base", "added")).alias("spans"))
@@ -141,7 +168,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask:
     out = df.columns
     # the row travels as the id, so that no join back is needed
     named = df.select(F.struct(*[F.col(f"`{c}`") for c in out]).alias("row"), F.col(text_col).alias("__text"))
-    found = scan(named, "row", "__text")
+    found = scan(named, "row", "__text", parts=True)
 
     def step(acc: Column, x: Column) -> Column:
         gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
