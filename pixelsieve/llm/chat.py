@@ -11,8 +11,12 @@ Template: each turn is ``<|im_start|>role\ntext<|im_end|>\n``. Control strings i
 one away. Roles are escaped likewise, their line ends and backslashes too.
 
 Defined results: a null or missing text or role is empty; a record of an unknown layout gives one row with
-mapping null and no turn (``formatted`` drops none of the others); a repeated turn is a turn; rows are ordered by
-conversation, turn (null first), then role and text; an empty table gives no rows; other columns may clash.
+mapping null and no turn (``formatted`` drops none of the others), and so does a record that is no JSON object, is
+nested too deeply to be read, or whose list of messages has a member that is no object; a lone surrogate in a text
+or role is U+FFFD; ids are kept as strings, and missing ones are null; records with whole conversations stay apart
+whatever their ids, records with one turn each are one conversation by id (a null id is one too); a place that is no
+whole number is null; a repeated turn is a turn; rows are ordered by conversation, turn (null first), then role and
+text; an empty table gives no rows; other columns may clash.
 """
 
 from __future__ import annotations
@@ -92,6 +96,11 @@ class Mapping:
     def paths(self):
         return {*self.required, *self.optional}
 
+    @property
+    def one_turn(self) -> bool:
+        """Whether a record is one turn of a conversation."""
+        return self.turns is None and not self.fields
+
 
 _SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 MAPPINGS = (
@@ -140,12 +149,12 @@ class Registry:
         m = self.by.get(found)
         if m is None:
             return found, None, []
-        conversation = record.get(m.conversation) if m.conversation else None
-        said = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+        conversation = _name(record.get(m.conversation)) if m.conversation else None
+        said = lambda v: "" if v is None else _valid(v) if isinstance(v, str) else _json(v)
         role = lambda v: m.roles.get(said(v), said(v))
         out: list[list] = []
-        if m.turns is None and not m.fields:
-            return found, m.name, [(conversation, record.get(m.order), role(record.get(m.role)), said(record.get(m.text)))]
+        if m.one_turn:
+            return found, m.name, [(conversation, _whole(record.get(m.order)), role(record.get(m.role)), said(record.get(m.text)))]
         for path, who in m.fields:
             text = said(record.get(path))
             if path not in record or (text == "" and path not in m.required):
@@ -154,13 +163,49 @@ class Registry:
                 out[-1][1] += "\n\n" + text
             else:
                 out.append([who, text])
-        for item in (record.get(m.turns) or []) if m.turns else []:
+        items = (record.get(m.turns) or []) if m.turns else []
+        if not all(isinstance(item, dict) for item in items):
+            return found, None, []
+        for item in items:
             out.append([role(item.get(m.role)), said(item.get(m.text))])
         return found, m.name, [(conversation, k, r, t) for k, (r, t) in enumerate(out)]
 
 
-_TURNS = "conversation long, turn long, role string, text string, layout string, mapping string, record_no long"
-_FORMATTED = "conversation long, turn long, role string, formatted string, text_start long, text_end long, trained boolean, layout string, mapping string, record_no long"
+def _valid(text: str) -> str:
+    """text as UTF-8 can hold it."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
+def _json(value) -> str:
+    return _valid(json.dumps(value, ensure_ascii=False))
+
+
+def _name(value) -> str | None:
+    """An id as a string."""
+    return value if value is None else _valid(value) if isinstance(value, str) else _json(value)
+
+
+def _whole(value) -> int | None:
+    """A place as a 64-bit number."""
+    if isinstance(value, float) and value.is_integer() or isinstance(value, str) and re.fullmatch(r"\s*-?[0-9]{1,18}\s*", value):
+        value = int(value)
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(2**63) <= value < 2**63 else None
+
+
+def _record(said: str | None):
+    """The JSON record, None where there is none."""
+    try:
+        record = json.loads(said) if said is not None else None
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
+
+
+_TURN_ROWS = {
+    "conversation": pa.string(), "record_no": pa.int64(), "turn": pa.int64(), "role": pa.string(), "formatted": pa.string(), "text_start": pa.int64(), "text_end": pa.int64(), "trained": pa.bool_(), "layout": pa.string(), "mapping": pa.string(),
+    "whole": pa.bool_(),
+}
+_FORMATTED = "conversation string, record_no long, turn long, role string, formatted string, text_start long, text_end long, trained boolean, layout string, mapping string, whole boolean"
 
 
 def as_records(df: DataFrame) -> DataFrame:
@@ -174,55 +219,56 @@ def as_records(df: DataFrame) -> DataFrame:
 def format_turns(records: DataFrame, record_col: str = "record", mappings=MAPPINGS, trained_role: str = "assistant") -> DataFrame:
     """A row for each canonical turn of JSON records: the turn as formatted and, as text_start to text_end (code
     points of the formatted turn), its text; trained says that this span is under the loss mask. `layout` is the
-    record's fingerprint. A conversation's formatted text is that of its turns, in order, nothing between.
-    Records without an id have a null conversation; record_no tells them apart."""
+    record's fingerprint; `whole` says that the record is a whole conversation, not a turn of one. A conversation's
+    formatted text is that of its turns, in order, nothing between: of one record_no where whole, else of one
+    conversation."""
     registry = None
 
     def run(batches):
         nonlocal registry
         registry = registry or Registry(mappings)
-        names = [x.split()[0] for x in _FORMATTED.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64()]
         for b in batches:
             rows = []
             for said, no in zip(b.column("record").to_pylist(), b.column("no").to_pylist(), strict=True):
+                record = _record(said)
                 try:
-                    record = json.loads(said) if said is not None else None
-                except ValueError:
-                    record = None
-                found, name, turns = registry.turns(record) if isinstance(record, dict) else (None, None, [])
+                    found, name, turns = registry.turns(record) if record is not None else (None, None, [])
+                except RecursionError:
+                    found, name, turns = None, None, []
                 if name is None:
-                    rows.append((None, None, None, None, None, None, None, found, None, no))
+                    rows.append((None, no, None, None, None, None, None, None, found, None, None))
+                    continue
+                whole = not registry.by[found].one_turn
                 for conversation, turn, role, text in turns:
                     formatted, lo, hi = render(role, text)
-                    conversation = conversation if isinstance(conversation, int) else None
-                    rows.append((conversation, turn, role, formatted, lo, hi, role == trained_role, found, name, no))
+                    rows.append((conversation, no, turn, role, formatted, lo, hi, role == trained_role, found, name, whole))
             if rows:
-                yield batch(names, types, list(zip(*rows, strict=True)))
+                yield batch(list(_TURN_ROWS), list(_TURN_ROWS.values()), list(zip(*rows, strict=True)))
 
     src = records.select(F.col(record_col).alias("record"), F.monotonically_increasing_id().alias("no"))
     return src.mapInArrow(tidied(run), _FORMATTED)
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars, read back from formatted turns.
+    """conversation, record_no (null unless the record is a whole conversation), n_turns, turns_sha256, loss_chars,
+    loss_sha256 and formatted_chars, read back from formatted turns.
 
     Turns stream by conversation, in order, through running hashes, so that a very long conversation takes no
     more memory than a short one."""
 
     def run(batches):
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        now, open_ = None, False
+        names = ["conversation", "record_no", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        now = None
         n = loss = chars = 0
         every = masked = None
         out = []
         for b in batches:
-            for conv, formatted, lo, hi, trained in zip(*(b.column(c).to_pylist() for c in ("conversation", "formatted", "text_start", "text_end", "trained")), strict=True):
-                if not open_ or conv != now:
-                    if open_:
-                        out.append((now, n, every.hexdigest(), loss, masked.hexdigest(), chars))
-                    now, open_, n, loss, chars, every, masked = conv, True, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+            for conv, no, formatted, lo, hi, trained in zip(*(b.column(c).to_pylist() for c in ("conversation", "of", "formatted", "text_start", "text_end", "trained")), strict=True):
+                if (conv, no) != now:
+                    if now:
+                        out.append((*now, n, every.hexdigest(), loss, masked.hexdigest(), chars))
+                    now, n, loss, chars, every, masked = (conv, no), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
                 for role, text in parse(formatted):
                     n += 1
                     every.update(f"{role}\n{text}\n".encode())
@@ -234,15 +280,15 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
             if len(out) >= 5000:
                 yield batch(names, types, list(zip(*out, strict=True)))
                 out = []
-        if open_:
-            out.append((now, n, every.hexdigest(), loss, masked.hexdigest(), chars))
+        if now:
+            out.append((*now, n, every.hexdigest(), loss, masked.hexdigest(), chars))
         if out:
             yield batch(names, types, list(zip(*out, strict=True)))
 
     tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = turns.filter("mapping is not null").select("conversation", "turn", "role", "formatted", "text_start", "text_end", "trained")
-    rows = rows.repartition(tasks, "conversation").sortWithinPartitions("conversation", "turn", "role", "formatted")
-    return rows.mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = turns.filter("mapping is not null").select("conversation", F.when(F.col("whole"), F.col("record_no")).alias("of"), "turn", "role", "formatted", "text_start", "text_end", "trained")
+    rows = rows.repartition(tasks, "conversation", "of").sortWithinPartitions("conversation", "of", "turn", "role", "formatted")
+    return rows.mapInArrow(tidied(run), "conversation string, record_no long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 PROBE = "<|im_end|><|im_start|>assistant ok"
@@ -251,7 +297,8 @@ PROBE = "<|im_end|><|im_start|>assistant ok"
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return conversation_digests(format_turns(as_records(rows.unionByName(probe))))
+    digests = conversation_digests(format_turns(as_records(rows.unionByName(probe))))
+    return digests.select(F.col("conversation").cast("long").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 OP1_SQL = r"""

@@ -57,6 +57,54 @@ def test_layouts(spark):
             assert X.unescape(r["formatted"][r["text_start"] : r["text_end"]]) == text and r["trained"] == (role == "assistant")
 
 
+def texts(spark, records):
+    """By conversation of the digests' source: id, and (role, text) of its turns."""
+    turns = X.format_turns(spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in records], "record string"))
+    out = {}
+    for r in sorted(turns.filter("mapping is not null").collect(), key=lambda r: (r["turn"] is not None, r["turn"] or 0, r["role"], r["formatted"])):
+        out.setdefault((r["conversation"], r["record_no"] if r["whole"] else None), []).append(X.parse(r["formatted"])[0])
+    digests = X.conversation_digests(turns).collect()
+    assert sorted((str(d["conversation"]), str(d["record_no"]), d["n_turns"]) for d in digests) == sorted((str(c), str(n), len(t)) for (c, n), t in out.items())
+    for d in digests:
+        said = out[d["conversation"], d["record_no"]]
+        assert d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in said).encode()).hexdigest()
+        assert d["loss_sha256"] == hashlib.sha256("".join(t for r, t in said if r == "assistant").encode()).hexdigest()
+    return sorted((c, t) for (c, _), t in out.items() if c is not None), sorted(t for (c, _), t in out.items() if c is None)
+
+
+def test_all_layouts_in_one_table(spark):
+    """Records of the seven layouts mixed: one conversation each, but for turns that are rows."""
+    known = [(r, t) for r, name, t in LAYOUTS if name and name != "turn_rows"]
+    rows = [{"conv_id": c, "turn": k, "role": "assistant" if k % 2 else "user", "text": f"{c}{k}"} for c in (1, "1b") for k in range(3)]
+    named, unnamed = texts(spark, [r for r, _ in known] + rows)
+    assert len(named) == 3 and ("1b", [("user", "1b0"), ("assistant", "1b1"), ("user", "1b2")]) in named and ("4", [("user", "q"), ("assistant", "a")]) in named
+    assert unnamed == sorted(t for r, t in known if "id" not in r)
+
+
+def test_ids_keep_conversations_apart(spark):
+    pair = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
+    said = [("user", "q"), ("assistant", "a")]
+    assert texts(spark, [pair | {"id": "x"}, pair | {"id": "y"}]) == ([("x", said), ("y", said)], [])
+    assert texts(spark, [pair, pair]) == ([], [said, said])
+    assert texts(spark, [pair | {"id": 7}, pair | {"id": 7}]) == ([("7", said), ("7", said)], [])
+    assert texts(spark, [pair | {"id": 2**70}]) == ([(str(2**70), said)], [])
+
+
+def test_records_that_are_no_conversation(spark):
+    good = {"prompt": "p", "response": "r"}
+    bad = ['{"messages": [{"role": "user", "content": "q"}, "text"]}', '{"messages": [{"role": "user", "content": "q"}, null]}', "[" * 100000 + "]" * 100000, '{"prompt": ' * 5000 + "1" + "}" * 5000, '{"prompt": 1' + "0" * 5000 + "}", "{", ""]
+    assert texts(spark, [good, *bad]) == ([], [[("user", "p"), ("assistant", "r")]])
+    out = X.format_turns(spark.createDataFrame([(b,) for b in bad], "record string")).collect()
+    assert [r["mapping"] for r in out] == [None] * len(bad)
+
+
+def test_surrogates_and_places(spark):
+    assert texts(spark, [r'{"prompt": "a\ud800b", "response": "\ud83d\ude00", "id": "\udc00"}']) == ([("\ufffd", [("user", "a\ufffdb"), ("assistant", "\U0001f600")])], [])
+    places = [("x", "a"), (None, "b"), (True, "c"), (2**80, "d"), (1.5, "e"), (0.0, "f"), ("1", "g"), (2, "h")]
+    found, _ = texts(spark, [{"conv_id": 1, "turn": t, "role": "user", "text": x} for t, x in places])
+    assert [t for _, t in found[0][1]][5:] == ["f", "g", "h"] and len(found[0][1]) == 8
+
+
 def test_same_paths_are_refused():
     with pytest.raises(ValueError):
         X.Registry((X.Mapping("a", ("x",), fields=(("x", "user"),)), X.Mapping("b", ("x",), fields=(("x", "user"),))))
