@@ -102,7 +102,7 @@ def test_redact_beside_base_spans(spark):
 def test_time_follows_length(spark):
     """A megabyte of base64 in one candidate, and a dump of very many secrets."""
     rng = random.Random(4)
-    long = "".join(rng.choices(X.ALPHABET.replace("x", ""), k=1_000_000))
+    long = "".join(rng.choices(X.ALPHABET.translate({120: None, 88: None}), k=1_000_000))
     dump = " ".join(f"token=abcdefghij{rng.randrange(10**9):010d}" for _ in range(12_000))
     df = spark.createDataFrame([(1, long), (2, dump)], "doc_id long, text string")
     began = time.monotonic()
