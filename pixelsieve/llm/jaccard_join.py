@@ -13,18 +13,25 @@ by chance, and the comparisons of light sets that do, as one name makes them can
 As linked sets share t names, a single one in common is no candidate. Names that few sets have give pairs, which
 are counted; names that many sets have are counted by set. A pair is a candidate if its count, and the number of
 such long lists that both sets are on, can add up to t. Sets that are on t long lists or more are connected by
-way of these lists, each list's first set with the others. This leaves documents that only share a passage out
-of what follows, without a pair of a long list ever being made.
+way of these lists, each list being a point that its sets are connected with. This leaves documents that only share
+a passage out of what follows, without a pair of a long list ever being made. A task that finds a name on more than
+SHORT of its own sets knows the list to be long: it passes its sets on as they are, and asks for the name once, so
+that no name brings all its sets to one task.
 
 Equal sets are one node throughout. Nodes that share names, by way of any chain, form a candidate component;
-all pairs in it are compared, by matrix products over the shingles that occur twice. A component of more than
-BLOCK nodes is cut into blocks, and pairs of blocks are compared in tasks of their own, so that no task holds
-a whole large group and no pair becomes a row: a task returns each node's smallest linked node, and the number
-of its links. No cap, no sample: links are lost only where two 64-bit shingle hashes collide.
+all pairs in it are compared, by matrix products over the shingles that occur twice. In a component of more than
+BLOCK nodes, each is first compared with one of them, the pivot, that is on the most lists. The Jaccard distance is
+a metric, so that nodes within half the allowed distance of the pivot all link with each other: this ball needs no
+comparison, and its links are counts. What is left is cut into blocks and compared, block by block, with itself and
+with the ball, in tasks of their own, so that no task holds a whole large group and no pair becomes a row: a task
+returns each node's smallest linked node, and the number of its links. A group of near copies of one text thus costs
+in proportion to its texts; a component whose nodes are far from the pivot costs the square of their number. No
+cap, no sample: links are lost only where two 64-bit shingle hashes collide.
 
 Defined results: null and empty texts have the empty set and link with nothing; a text of fewer words than a
 shingle has one shingle of all its words; rows without an id link with nothing and have a null component;
-repeated rows are copies of each other; an empty table gives no rows; other columns are not read.
+repeated rows are copies of each other, and rows of one id with different texts are told apart; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from pyspark.sql import functions as F
 from pixelsieve.llm.common import batch, cut, pick, read, tidied, unique_names, utf8_views
 from pixelsieve.llm.components import connected_components
 
-#: Nodes of a candidate component that one task compares.
+#: Nodes of a candidate component that one task compares with each other, or with as many others.
 BLOCK = 500
 #: Spare parts of heavy classes, as a share of H.
 SPARE = 0.3
@@ -223,8 +230,33 @@ def _sets(k: int, percent: int):
     return tidied(run)
 
 
-#: A name, and the node that has it; the node's lowest bit says whether it is that of the class below its own.
+#: A name, and the node that has it; the node's lowest bit says whether it is that of the class below its own. With
+#: MARK for a node, the name is known to be on a long list.
 _RECORD = np.dtype([("name", "<u8"), ("node", "<i8")])
+MARK = -1
+_ASKED = "bucket int, long boolean, data binary"
+
+
+def _packed(a: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Records of a task, as one value for each bucket of names; and, as they are, those of names with more than SHORT
+    nodes, in parts that are dealt by their first node."""
+    a = a[np.argsort(a["name"], kind="stable")]
+    starts = np.flatnonzero(np.concatenate(([True], a["name"][1:] != a["name"][:-1])))
+    size = np.diff(np.append(starts, len(a)))
+    often = np.repeat(size > SHORT, size)
+    marks = a[starts[size > SHORT]].copy()
+    marks["node"] = MARK
+    asked = np.concatenate((a[~often], marks))
+    bucket = (asked["name"] % _U(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    asked, bucket = asked[order], bucket[order]
+    at = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    data = [asked[x:y].tobytes() for x, y in zip(at, [*at[1:], len(asked)], strict=True)]
+    where, known = bucket[at].tolist(), a[often]
+    for lo in range(0, len(known), 20000):
+        data.append(known[lo : lo + 20000].tobytes())
+        where.append(int(known["node"][lo] >> 1) % buckets)
+    return batch(["bucket", "long", "data"], [pa.int32(), pa.bool_(), pa.binary()], [where, [False] * len(at) + [True] * (len(data) - len(at)), data])
 
 
 def _named(k: int, classes: Classes, buckets: int):
@@ -233,16 +265,6 @@ def _named(k: int, classes: Classes, buckets: int):
     def run(batches):
         for b in batches:
             out, seen, held = [], set(), 0
-
-            def flush(out=out):
-                a = np.concatenate(out)
-                bucket = (a["name"] % _U(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                a, bucket = a[order], bucket[order]
-                at = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                data = [a[x:y].tobytes() for x, y in zip(at, [*at[1:], len(a)], strict=True)]
-                return batch(["bucket", "data"], [pa.int32(), pa.binary()], [bucket[at], data])
-
             for view in utf8_views(b.column("text")):
                 u = shingles(view, k)
                 if not len(u):
@@ -258,11 +280,11 @@ def _named(k: int, classes: Classes, buckets: int):
                     out.append(r)
                     held += len(r)
                 if held > 400_000:
-                    yield flush()
+                    yield _packed(np.concatenate(out), buckets)
                     out.clear()
                     held = 0
             if out:
-                yield flush()
+                yield _packed(np.concatenate(out), buckets)
 
     return tidied(run)
 
@@ -278,6 +300,9 @@ def _shared(batches):
     def rows(long: bool, a, b, n) -> pa.RecordBatch:
         return batch(["long", "a", "b", "n"], [pa.bool_(), pa.int64(), pa.int64(), pa.int32()], [np.full(len(a), long), a, b, n])
 
+    def on_list(name, node) -> pa.RecordBatch:
+        return rows(True, np.ascontiguousarray(name).view(np.int64), np.ascontiguousarray(node), np.ones(len(name), np.int32))
+
     def found(parts: list[bytes]):
         a = np.frombuffer(b"".join(parts), _RECORD)
         order = np.lexsort((a["node"], a["name"]))
@@ -287,12 +312,13 @@ def _shared(batches):
         name, node = name[fresh], node[fresh]
         starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         size = np.diff(np.append(starts, len(name)))
-        many = np.repeat(size > SHORT, size)
+        known = np.add.reduceat(node == MARK, starts) > 0
+        many = np.repeat(known | (size > SHORT), size) & (node != MARK)
         if many.any():
-            yield rows(True, name[many].view(np.int64), node[many], np.ones(many.sum(), np.int32))
+            yield on_list(name[many], node[many])
         pairs = [np.empty((2, 0), np.int64)]
         for g in range(2, SHORT + 1):
-            at = starts[size == g]
+            at = starts[(size == g) & ~known]
             pairs += [np.stack((node[at + i], node[at + j])) for i in range(g) for j in range(i + 1, g)]
         left, right = np.concatenate(pairs, axis=1)
         if len(left):
@@ -303,7 +329,11 @@ def _shared(batches):
 
     now, parts = None, []
     for b in batches:
-        for bucket, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist(), strict=True):
+        for bucket, long, data in zip(*(b.column(c).to_pylist() for c in ("bucket", "long", "data")), strict=True):
+            if long:
+                a = np.frombuffer(data, _RECORD)
+                yield on_list(a["name"], a["node"])
+                continue
             if bucket != now and parts:
                 yield from found(parts)
                 parts = []
@@ -350,54 +380,95 @@ def linked(sets: list[np.ndarray], percent: int, split: int | None = None) -> np
     return out
 
 
+def _within_half(k: int, percent: int):
+    """Of each unit, one row of which is a component's pivot: which nodes are within half the allowed distance."""
+
+    def run(batches):
+        now, pivot, done = None, None, set()
+        for b in batches:
+            out = []
+            for view, unit, comp, h1, h2, first in zip(utf8_views(b.column("text")), *(b.column(c).to_pylist() for c in ("unit", "comp", "h1", "h2", "first")), strict=True):
+                if unit != now:
+                    now, pivot, done = unit, None, set()
+                if (first and pivot is not None) or (not first and pivot is None) or (h1, h2) in done:
+                    continue
+                u = shingles(view, k)
+                if set_key(u) != (h1, h2):  # another row with this id may have another text
+                    continue
+                if first:
+                    pivot = u
+                    continue
+                done.add((h1, h2))
+                both = len(np.intersect1d(pivot, u, assume_unique=True))
+                either = len(pivot) + len(u) - both
+                if 200 * (either - both) <= (100 - percent) * either:
+                    out.append((h1, comp))
+            if out:
+                yield batch(["node", "comp"], [pa.int64()] * 2, list(zip(*out, strict=True)))
+
+    return tidied(run)
+
+
 def _compared(k: int, percent: int):
     """Links of one unit: all pairs of its nodes, or of one block's nodes with another's."""
 
     def found(rows: list[tuple]) -> pa.RecordBatch | None:
-        rows.sort(key=lambda r: r[4])  # by side
+        rows.sort(key=lambda r: r[3])  # by side
         sets = [r[0] for r in rows]
-        sides = [r[4] for r in rows]
+        sides = [r[3] for r in rows]
         split = sides.index(1) if sides[0] == 0 and sides[-1] == 1 else None
-        if split is None and rows[0][5]:
+        if split is None and rows[0][4]:
             return None  # one block of a pair is empty
         links = linked(sets, percent, split)
-        rep, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+        node, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
         n = np.array([copies[row].sum() for row in links])
         some = np.flatnonzero(n)
         if not len(some):
             return None
-        links, root = links[np.ix_(some, some)], rep[some].copy()
+        links, root = links[np.ix_(some, some)], node[some].copy()
         while True:
             least = [np.where(links[lo : lo + 128], root[None, :], np.iinfo(np.int64).max).min(axis=1) for lo in range(0, len(root), 128)]
             new = np.minimum(root, np.concatenate(least))
             if np.array_equal(new, root):
                 break
             root = new
-        return batch(["rep", "root", "links"], [pa.int64()] * 3, [rep[some], root, n[some]])
+        return batch(["node", "root", "links"], [pa.int64()] * 3, [node[some], root, n[some]])
 
     def run(batches):
-        now, rows = None, []
+        now, rows, seen = None, [], set()
         for b in batches:
-            cols = ("unit", "rep", "copies", "h1", "h2", "side", "pair")
-            for view, unit, rep, copies, h1, h2, side, pair in zip(utf8_views(b.column("text")), *(b.column(c).to_pylist() for c in cols), strict=True):
-                if unit != now and rows:
-                    out = found(rows)
-                    if out is not None:
+            cols = ("unit", "copies", "h1", "h2", "side", "pair")
+            for view, unit, copies, h1, h2, side, pair in zip(utf8_views(b.column("text")), *(b.column(c).to_pylist() for c in cols), strict=True):
+                if unit != now:
+                    if rows and (out := found(rows)) is not None:
                         yield out
-                    rows = []
-                now = unit
+                    now, rows, seen = unit, [], set()
+                if (h1, h2) in seen:
+                    continue
                 u = shingles(view, k)
                 if set_key(u) == (h1, h2):  # another row with this id may have another text
-                    if not any(r[1] == rep and r[4] == side for r in rows[-3:]):
-                        rows.append((u, rep, copies, None, side, pair))
-        if rows:
-            out = found(rows)
-            if out is not None:
-                yield out
+                    seen.add((h1, h2))
+                    rows.append((u, h1, copies, side, pair))
+        if rows and (out := found(rows)) is not None:
+            yield out
 
     return tidied(run)
 
 
+def _balls(held: DataFrame, on_lists: DataFrame, k: int, percent: int, block: int, tasks: int) -> DataFrame:
+    """node, comp: the nodes of large components (text, h1, h2, comp, size) that are within half the allowed distance
+    of their component's pivot. A component's nodes are dealt to units, and its pivot goes to each."""
+    lists = on_lists.groupBy(F.col("node").bitwiseAND(F.lit(-2)).alias("node")).agg(F.sum("lists").alias("lists"))
+    ranked = held.select("h1", "h2", "comp", "size").join(lists, F.col("h1") == F.col("node"), "left")
+    pivots = ranked.groupBy("comp", "size").agg(F.max(F.struct(F.coalesce("lists", F.lit(0)).alias("lists"), "h1", "h2")).alias("p"))
+    units = F.ceil(F.col("size") / block).cast("int")
+    pivots = pivots.select(F.col("p.h1").alias("p1"), F.explode(F.sequence(F.lit(0), units - 1)).alias("at"))
+    rows = held.select("text", "h1", "h2", "comp", F.pmod(F.xxhash64("h1"), units).cast("int").alias("at"), F.lit(False).alias("first"))
+    rows = rows.unionByName(held.join(pivots, F.col("h1") == F.col("p1")).select("text", "h1", "h2", "comp", "at", F.lit(True).alias("first")))
+    dealt = rows.select("text", "h1", "h2", "comp", "first", F.xxhash64("comp", "at").alias("unit")).repartition(tasks, "unit")
+    return cut(dealt.sortWithinPartitions("unit", F.desc("first")).mapInArrow(_within_half(k, percent), "node long, comp long"))
+
+
 def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links) and n_links; a row for each input row."""
     spark = df.sparkSession
@@ -413,7 +484,7 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sizes = {r["c"]: r["sets"] for r in per_class.collect()}  # a row for each class: a few dozen
     heavy_from = boundary(sizes, percent)
     classes = Classes(percent, heavy_from)
-    named = docs.filter("id is not null").mapInArrow(_named(k, classes, 4 * tasks), "bucket int, data binary")
+    named = docs.filter("id is not null").mapInArrow(_named(k, classes, 4 * tasks), _ASKED)
     shared = cut(named.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, _FOUND))
     light_own, light_below = (F.col("n") <= (high[heavy_from - 1] if heavy_from else 0)), (F.col("n") <= (high[heavy_from] if heavy_from else 0))
     needs = F.array(
@@ -421,40 +492,49 @@ def jaccard_components(df: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.struct(F.col("h1").bitwiseOR(F.lit(1)).alias("node"), F.when(light_below, 1).otherwise(F.col("below")).alias("need")),
     )
     needed = classes_of.select(F.explode(needs).alias("x")).select("x.*").filter("need is not null").groupBy("node").agg(F.min("need").alias("need"))
-    on_lists = shared.filter("long").groupBy(F.col("b").alias("node")).agg(F.count("*").alias("lists"))
+    # A set that several tasks have met is on a long list once.
+    listed = cut(shared.filter("long").select(F.col("a").alias("name"), F.col("b").alias("node")).distinct())
+    on_lists = listed.groupBy("node").agg(F.count("*").alias("lists"))
     nodes = needed.join(on_lists, "node", "left").select("node", "need", F.coalesce("lists", F.lit(0)).alias("lists"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("need").alias(f"need_{x}"), F.col("lists").alias(f"lists_{x}"))
     pairs = shared.filter("not long").groupBy("a", "b").agg(F.sum("n").alias("n")).join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.filter("n >= greatest(1, greatest(need_a, need_b) - least(lists_a, lists_b))")
     whole = lambda c: F.col(c).bitwiseAND(F.lit(-2))
     pairs = pairs.select(whole("a").alias("a"), whole("b").alias("b"))
-    enough = nodes.filter("lists >= need").select("node")
-    live = shared.filter("long").select(F.col("a").alias("name"), F.col("b").alias("node")).join(enough, "node").select("name", whole("node").alias("node"))
-    first = live.groupBy("name").agg(F.min("node").alias("a"))
-    stars = live.join(first, "name").filter("a <> node").select("a", F.col("node").alias("b"))
-    # A node has an edge for each of its names; its first one, and edges from there to the others, which many
-    # nodes have in common, connect the same.
-    stars = stars.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("all"))
-    stars = stars.select(F.element_at("all", 1).alias("a"), F.explode(F.concat(F.expr("slice(all, 2, size(all))"), F.array("b"))).alias("b"))
-    stars = stars.unionByName(pairs)
-    candidates = connected_components(stars)  # node, root
-
-    # Compare all nodes of a candidate component, in blocks where it is large.
+    # A list is a point too, by an odd number. A node has an edge to the first of its lists, and edges from there to
+    # the others, which many nodes have in common, connect the same as one to each.
+    live = listed.join(nodes.filter("lists >= need").select("node"), "node").select(F.col("name").bitwiseOR(F.lit(1)).alias("name"), whole("node").alias("node"))
+    stars = live.groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("all"))
+    stars = stars.select(F.element_at("all", 1).alias("a"), F.explode(F.concat(F.expr("slice(all, 2, size(all))"), F.array("node"))).alias("b"))
+    candidates = connected_components(stars.unionByName(pairs))  # node, root
+
+    # Compare all nodes of a candidate component that no ball settles, in blocks where it is large.
     inside = cut(classes_of.join(candidates, F.col("h1") == F.col("node")).select("h1", "h2", "rep", "copies", F.col("root").alias("comp")))
     sized = inside.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1")
-    many = F.ceil(F.col("size") / block).cast("int")
-    inside = inside.join(sized, "comp").select("h1", "h2", "rep", "copies", "comp", many.alias("blocks"))
-    inside = inside.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    units = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, mine) as lo, greatest(x, mine) as hi, if(x = mine, -1, if(mine < x, 0, 1)) as side))")
-    texts = docs.join(inside, F.col("id") == F.col("rep")).select("text", "rep", "copies", "h1", "h2", "comp", "blocks", F.explode(units).alias("u"))
-    texts = texts.select("text", "rep", "copies", "h1", "h2", F.xxhash64("comp", "u.lo", "u.hi").alias("unit"), F.col("u.side").alias("side"), (F.col("u.lo") != F.col("u.hi")).alias("pair"))
-    compared = texts.repartition(tasks, "unit").sortWithinPartitions("unit", "rep").mapInArrow(_compared(k, percent), "rep long, root long, links long")
-    compared = cut(compared)
-    roots = connected_components(compared.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    links = compared.groupBy("rep").agg(F.sum("links").alias("links"))
-
-    found = classes_of.select("h1", "h2", "rep", "copies").join(roots, F.col("rep") == F.col("node"), "left").join(links, "rep", "left")
-    found = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("linked"))
+    inside = cut(inside.join(sized, "comp").select("h1", "h2", "rep", "copies", "comp", "size"))
+    held = cut(docs.join(inside, F.col("id") == F.col("rep")).select("text", "copies", "h1", "h2", "comp", "size"))
+    balls = _balls(held.filter(F.col("size") > block), on_lists, k, percent, block, tasks)
+    inside = inside.join(balls.select("node"), F.col("h1") == F.col("node"), "left").select("h1", "copies", "comp", "size", F.col("node").isNotNull().alias("ball"))
+    inside = cut(inside.distinct())
+    ball = inside.filter("ball").groupBy("comp").agg(F.count("*").alias("held"), F.sum("copies").alias("all_copies"), F.min("h1").alias("least"))
+    in_ball = inside.filter("ball").join(ball, "comp").select(F.col("h1").alias("node"), F.col("least").alias("root"), (F.col("all_copies") - F.col("copies")).alias("links"))
+    rest, more = F.ceil((F.col("size") - F.coalesce("held", F.lit(0))) / block).cast("int"), F.ceil(F.coalesce("held", F.lit(0)) / block).cast("int")
+    left = inside.join(ball.select("comp", "held"), "comp", "left").select(F.col("h1").alias("node"), "ball", rest.alias("rest"), more.alias("more")).filter("rest > 0")
+    spot = F.xxhash64("node")
+    left = left.withColumn("mine", F.when(F.col("ball"), F.col("rest") + F.pmod(spot, F.greatest("more", F.lit(1)))).otherwise(F.pmod(spot, F.col("rest"))).cast("int"))
+    units = F.expr("transform(sequence(0, if(ball, rest, rest + more) - 1), x -> struct(least(x, mine) as lo, greatest(x, mine) as hi, if(x = mine, -1, if(mine < x, 0, 1)) as side))")
+    texts = held.join(left, F.col("h1") == F.col("node")).select("text", "copies", "h1", "h2", "comp", F.explode(units).alias("u"))
+    texts = texts.select("text", "copies", "h1", "h2", F.xxhash64("comp", "u.lo", "u.hi").alias("unit"), F.col("u.side").alias("side"), (F.col("u.lo") != F.col("u.hi")).alias("pair"))
+    compared = texts.repartition(tasks, "unit").sortWithinPartitions("unit").mapInArrow(_compared(k, percent), "node long, root long, links long")
+    compared = cut(compared.unionByName(in_ball))
+    roots = connected_components(compared.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+
+    found = classes_of.select("h1", "h2", "rep", "copies").join(roots.join(links, "node"), F.col("h1") == F.col("node"), "left").drop("node")
+    found = cut(found)
+    least = found.filter("root is not null").groupBy("root").agg(F.min("rep").alias("first")).withColumnRenamed("root", "of")
+    found = found.join(least, F.col("root") == F.col("of"), "left")
+    found = found.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("first", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("linked"))
     lonely = F.col("n") == 0
     on = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & ~lonely & F.col("id").isNotNull()
     return members.join(found, on, "left").select(

@@ -104,6 +104,41 @@ def test_light_classes(spark, monkeypatch, k, percent):
     assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent) == brute(rows, k, percent)
 
 
+def test_ball(spark):
+    """A large group of near copies, some of which are far from the text that they come from, and copies of copies."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 5, 6, 7])):
+            words[rng.randrange(300)] = f"x{i}"
+        rows.append((i + 10, " ".join(words)))
+    rows += [(1000 + i, rows[rng.randrange(260)][1].upper()) for i in range(40)]
+    for block in (20, 1000):
+        assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=90, block=block) == brute(rows, 3, 90)
+
+
+def test_ids_of_two_texts(spark):
+    """Two texts of one id, both in one group of near copies: the links of both count."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base[:k] + ["new"] + base[k + 1 :]) for k in (10, 50, 90)] + [" ".join(base)]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (0, texts[3]), (0, texts[3])]
+    for block in (1, 2, 500):
+        assert run(spark.createDataFrame(rows, "doc_id long, text string"), k=3, percent=80, block=block) == brute(rows, 3, 80)
+
+
+def test_packed():
+    """Names on more nodes than SHORT are passed on as they are, with a mark for their bucket."""
+    a = np.zeros(2 * X.SHORT + 3, X._RECORD)
+    a["name"] = [7] * (X.SHORT + 1) + [8] * X.SHORT + [9, 9]
+    a["node"] = np.arange(len(a)) * 2
+    rows = X._packed(a, 4).to_pylist()
+    known = [r for x in rows if x["long"] for r in np.frombuffer(x["data"], X._RECORD).tolist()]
+    asked = [r for x in rows if not x["long"] for r in np.frombuffer(x["data"], X._RECORD).tolist()]
+    assert known == [(7, 2 * i) for i in range(X.SHORT + 1)] and (7, X.MARK) in asked and len(asked) == X.SHORT + 3
+
+
 def test_edges(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(40, "HELLO,\x0bworld!"), (41, "one two"), (42, "ONE\ttwo"), (43, "one two three"), (6, "same text here")]
     path = save(spark, tmp_path, [doc(i, t) for i, t in rows])
