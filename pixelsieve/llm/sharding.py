@@ -10,7 +10,8 @@ source, from counts, plus its rank in its bucket; likewise for the order of frac
 third of all rows is thus spread over BUCKETS windows.
 
 Defined results: null or empty text has size 1; a null source is a source of its own; ties of the shuffle
-order are broken by id and size, and rows that are equal in all of these take neighbouring ranks; an empty
+order are broken by id and the columns named as ties, and rows that are equal in all of these take neighbouring
+ranks, so that the order of rows that differ in a tie column doesn't hang on where they come from; an empty
 table gives no rows; input columns named shard or slot are replaced, and of columns with one name the second
 and later ones get another.
 """
@@ -32,17 +33,16 @@ def _hash(*parts) -> F.Column:
     return F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts]))
 
 
-def interleave(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_col: str = "source", size_col: str | None = None, seed: int = SEED) -> DataFrame:
+def interleave(df: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_col: str = "source", ties: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
     """df with shard (0 to n_shards - 1) and slot (gapless from 0 in each shard)."""
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
     df, _ = unique_names(df)
     keep = [c for c in df.columns if c not in ("shard", "slot")]
-    tie = [F.col(size_col)] if size_col else []
     # The input's columns travel in one, so that none can clash with those below.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(source_col).alias("__s"), _hash(F.lit(seed), F.col(id_col)).alias("__h"), F.col(id_col).alias("__i"), *[t.alias("__z") for t in tie])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(source_col).alias("__s"), _hash(F.lit(seed), F.col(id_col)).alias("__h"), F.col(id_col).alias("__i"), *[F.col(t).alias(f"__z{k}") for k, t in enumerate(ties)])
     rows = rows.withColumn("__b", F.substring("__h", 1, BUCKET_DIGITS))
-    order = ["__h", "__i", *["__z" for _ in tie]]
+    order = ["__h", "__i", *[f"__z{k}" for k in range(len(ties))]]
     # Rank in the source: rows of its earlier buckets, and the rank in the bucket.
     count = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n"))
     by_source = Window.partitionBy("__s")
@@ -76,7 +76,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
-    out = interleave(rows, 16, size_col="size")
+    out = interleave(rows, 16, ties=("size", "text_crc32"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -93,10 +93,10 @@ c AS (
     lambda a, b: xor(a >> 8, crc[CAST((xor(a, b) & 255) + 1 AS INTEGER)]))) AS text_crc32
   FROM d, k),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n,
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n,
          (('0x' || substr(md5('source:17:' || coalesce(source, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u FROM c),
 p AS (
-  SELECT *, row_number() OVER (ORDER BY (r + u) / n, h, doc_id, size) - 1 AS p, count(*) OVER () AS total FROM r)
+  SELECT *, row_number() OVER (ORDER BY (r + u) / n, h, doc_id, size, text_crc32) - 1 AS p, count(*) OVER () AS total FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (p * 16 // total)::INTEGER AS shard,
        p - ((p * 16 // total) * total + 15) // 16 AS slot, NULL::INTEGER AS grown_shard
 FROM p

@@ -45,3 +45,13 @@ def test_same_result_again(spark):
 def test_no_python(spark):
     plan = S.op2_sharding(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ties(spark):
+    """Rows of one id and size keep their places however they arrive."""
+    rows = [(1, "s", 5, k) for k in range(40)] + [(2, None, 5, k) for k in range(5)]
+    places = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, source string, size long, crc long").repartition(3)
+        places.append(sorted(map(str, S.interleave(df, 4, ties=("size", "crc")).collect())))
+    assert places[0] == places[1]
