@@ -8,7 +8,7 @@ Lengths are at most the capacity, so the whole input is described by how many do
 driver packs these counts, at most `capacity` numbers whatever the input, many equal bins at a time. The
 result is a list of runs: the documents of one length with ranks a to b go to such bins at such offsets. A
 document needs only its rank among those of its length, which comes from counts by hash bucket and a rank in
-the bucket, so that one very common length is no hot spot.
+the bucket; buckets grow in number with the most common length, so that it is no hot spot.
 
 Defined results: null and empty texts are the end token alone (length 1); longer documents are cut into
 capacity-sized pieces, the last may be shorter; repeated rows are packed each; an empty table gives no rows;
@@ -35,7 +35,8 @@ from pixelsieve.llm.common import batch, cut, pick, read, remember_for, slices,
 
 CAPACITY = 4096
 END_ID = 1
-RANK_BUCKETS = 256
+#: Pieces of one length are ranked in so many buckets at least, and in more where a bucket would hold over RANK_ROWS.
+RANK_BUCKETS, RANK_ROWS = 256, 20_000
 #: Words whose ids a worker remembers, in two generations.
 REMEMBERED = 1_200_000
 
@@ -232,7 +233,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if any(not 0 < x <= capacity for x in counts):
         raise ValueError("a piece is longer than the capacity")
     runs, _ = pack_counts(counts, capacity)
-    rows = pieces.withColumn("__b", F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BUCKETS)))
+    buckets = max(RANK_BUCKETS, -(-max(counts.values(), default=0) // RANK_ROWS))
+    rows = pieces.withColumn("__b", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)))
     by_bucket = rows.groupBy("length", "__b").agg(F.count("*").alias("__n"))
     before = by_bucket.select(F.col("length").alias("__l"), F.col("__b").alias("__c"), (F.sum("__n").over(Window.partitionBy("length").orderBy("__b")) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("length", "__b").orderBy("id", "piece")) - 1
