@@ -106,7 +106,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Groups of equal normalised texts: id, keep_id, group_size, kept, text_sha256; a row for each input row.
 
     Of a group stays the row with the most code points in its original text, then the smallest id."""
-    r = recipes(df, id_col, text_col)
+    r = cut(recipes(df, id_col, text_col))
     order = F.struct((-F.col("n_chars")).alias("n"), F.col("id").isNull().alias("z"), F.col("id").alias("id"))
     groups = r.groupBy("recipe").agg(F.min(order).alias("best"), F.sum("copies").alias("group_size"))
     # Written first, as the join below is then one of two plain shuffles, in which a very common recipe is split.
