@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,13 +19,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; only where none is set (tests), a temporary one."""
+    """Use the folder in spark.checkpoint.dir; only where none is set and all runs on one machine (tests), a
+    temporary one. On a cluster without that setting executors would have no folder in common: an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="pixelsieve-"))
 
 
+#: Folders of intermediate tables that this process has written, for clean_up().
+_WRITTEN: set[str] = set()
+
+
+def table_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder for an intermediate table, in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Removes the intermediate tables of operators and of the pipeline that this process has written, and returns
+    their number. Frames that still read them can't be used any more: call it when their results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for path in sorted(_WRITTEN):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(where.getFileSystem(conf).delete(where, True))
+        _WRITTEN.discard(path)
+    return gone
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that later uses don't run its plan again
     and a lost executor costs a file read."""

@@ -28,7 +28,6 @@ a row without an id counts like others; an empty table gives no rows; other colu
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import batch, ensure_checkpoint_dir, pick, read, tidied, utf8_views
+from pixelsieve.llm.common import batch, ensure_checkpoint_dir, pick, read, table_folder, tidied, utf8_views
 from pixelsieve.llm.jaccard_join import _powers, mix
 
 LENGTH = 400
@@ -366,8 +365,7 @@ def _digested(length: int):
 def _stored(df: DataFrame) -> DataFrame:
     """df as written to, and read from, the shared checkpoint folder."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/repeated-{uuid.uuid4().hex}"
+    path = table_folder(spark, "repeated")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

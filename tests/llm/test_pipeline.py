@@ -1,15 +1,18 @@
+import glob
+import os
 import re
 
 import corpus_pipeline
 import numpy as np
 from helpers import SF, doc, save
+from pyspark.sql import functions as F
 from test_exact_dedup import brute_keys
 from test_jaccard_join import brute
 from test_language_id import direct
 from test_packing import check
 from test_secrets import full
 
-from pixelsieve.llm import language_id
+from pixelsieve.llm import common, language_id
 
 
 def keep_language(rows):
@@ -86,3 +89,34 @@ def test_stages(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, save(spark, tmp_path, [])).count() == 0
+
+
+def test_other_columns(spark, tmp_path):
+    """Further columns, named as operators name their own, stay with their rows; a table without n_chars has none."""
+    rows = planted()
+    names = ["id", "n", "row", "h1", "h2", "comp", "size", "node", "spans", "length", "rank", "copies", "recipe", "__gone", "__s", "__b", "with.dot"]
+    path = str(tmp_path / "more")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in names]).write.parquet(f"{path}/documents.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for drop in ([], ["n_chars"]):
+        now = docs.drop(*drop)
+        columns = now.columns
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            now = stage(spark, now, path)
+            assert now.columns == columns, name
+            now.write.parquet(f"{path}/{len(drop)}{k}")
+            now = spark.read.parquet(f"{path}/{len(drop)}{k}")
+        kept = now.collect()
+        assert {r["doc_id"] for r in kept} == {900003, 900008}
+        for r in kept:
+            assert all(r[c] == f"{c} of {r['doc_id']}" for c in names)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, path)
+    assert "doc_id" in last.columns and last.count() == len(rows)
+
+
+def test_clean_up(spark, tmp_path):
+    out = corpus_pipeline.run(spark, save(spark, tmp_path, planted())).collect()
+    left = glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/pipeline-*")
+    assert out and left and common.clean_up(spark) >= len(left)
+    assert not any(map(os.path.exists, left)) and common.clean_up(spark) == 0

@@ -97,6 +97,50 @@ def test_query(spark, tmp_path):
     assert X.op3_repeated_text(spark, save(spark, tmp_path, [])).count() == 0
 
 
+def brute_by_hash(texts, length):
+    """The runs of each text, from hashes of all windows, which are put together by doubling."""
+    whole = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    base, n = 0xD1342543DE82EF95, len(whole)
+    power = lambda k: np.uint64(pow(base, k, 2**64))
+    one, width, done, h = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64)[whole] * np.uint64(2) + np.uint64(1), 1, 0, np.zeros(n, np.uint64)
+    for k in range(length.bit_length()):
+        if length >> k & 1:
+            h[: n - done] = h[: n - done] * power(width) + one[done:]
+            done += width
+        one[: n - width] = one[: n - width] * power(width) + one[width:]
+        width *= 2
+    start = np.concatenate([np.arange(e - len(t), max(e - len(t), e - length + 1)) for t, e in zip(texts, ends)])
+    _, at, count = np.unique(h[start] ^ (h[start] >> np.uint64(31)), return_inverse=True, return_counts=True)
+    cover = np.zeros(n + 1, np.int64)
+    np.add.at(cover, start[count[at] > 1], 1)
+    np.add.at(cover, start[count[at] > 1] + length, -1)
+    cover = np.cumsum(cover[:-1]) > 0
+    out = []
+    for t, e in zip(texts, ends):
+        edge = np.flatnonzero(np.diff(cover[e - len(t) : e].astype(np.int8), prepend=0, append=0))
+        out.append(list(zip(edge[::2].tolist(), edge[1::2].tolist())))
+    return out
+
+
+def test_very_long_text(spark, tmp_path):
+    """Texts of more windows than are looked at together, with passages across the border."""
+    rng = np.random.default_rng(12)
+    long = rng.integers(97, 123, X.STRIDE + 300_000, dtype=np.uint8).tobytes().decode()
+    other = rng.integers(97, 123, X.STRIDE + 5000, dtype=np.uint8).tobytes().decode()
+    other = long[X.STRIDE - 250 : X.STRIDE + 700] + other[:-300] + long[-1300:-900] + long[5:404] + long[X.STRIDE // 2 : X.STRIDE // 2 + 401]
+    rows = [doc(i, t) for i, t in enumerate(EDGE_TEXTS)] + [doc(90, long), doc(91, other), doc(92, "é" + long[:400]), doc(93, long[100:499])]
+    texts = [(r[1] or "").encode() for r in rows]
+    want = []
+    for (i, *_), t, runs in zip(rows, texts, brute_by_hash(texts, 400)):
+        kept = t
+        for s, e in reversed(runs):
+            kept = kept[:s] + kept[e:]
+        want.append((i, len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+    assert [w[3] for w in want[-4:]] == [4, 3, 1, 0]
+    assert sorted(map(tuple, X.op3_repeated_text(spark, save(spark, tmp_path, rows)).collect())) == sorted(want)
+
+
 def test_sample(spark):
     rows = [(r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r["doc_id"]: tuple(r) for r in X.op3_repeated_text(spark, SF).collect()}
