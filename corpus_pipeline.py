@@ -2,17 +2,22 @@
 
 Each stage works on all that the one before it kept, and its decisions take effect. All but the last return
 the columns of documents.
+
+Defined results: a null or empty text, and one without a letter, goes at the first stage; a text in none of the
+labelled languages goes there too, and without any labelled text all others stay; rows without an id are never near
+copies, and of equal texts they go first; repeated rows are exact copies, of which one stays; equal originals are
+told apart by the smaller id; very long texts are read whole, masked and cut into pieces; an empty table gives no
+rows; further columns, whatever their names, are kept up to the last stage, and of columns with one name the first
+is the one that is read; a table without n_chars is not given one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelsieve.llm import exact_dedup, jaccard_join, language_id, packing, secrets
-from pixelsieve.llm.common import ensure_checkpoint_dir, read
+from pixelsieve.llm.common import read, table_folder, unique_names
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +38,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; n_chars follows the masked text. No document goes."""
-    masked = secrets.redact(docs)
-    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    named, restore = unique_names(secrets.redact(docs))
+    if "n_chars" in named.columns:
+        length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        named = named.withColumn("n_chars", length.cast(named.schema["n_chars"].dataType))
+    return restore(named)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. What a stage returns is written as Parquet to the shared checkpoint folder and
     read again, so that a lost executor costs no earlier stage."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = table_folder(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
