@@ -2,34 +2,82 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelsieve.functions import metrics
 
-#: Rows of the smaller side of a join below which it is sent to all executors.
+#: Rows up to which nearest() without a key sends the table to all executors; it refuses larger ones.
 BROADCAST_ROWS = 50_000
-
-
-def bands(hash_: Column, length: int, threshold: int) -> Column:
-    """threshold + 1 keys of a binary hash of `length` bytes: two hashes that differ in at most `threshold` bits
-    have one of them in common, as that many bits can't touch all bands."""
-    count = threshold + 1
+#: Distinct hashes for which a join's bands are laid out, and the cost of a key in candidates that are compared.
+EXPECTED, KEY_COST = 1_000_000, 4
+#: Bits of a band at most, as its key is a long.
+WIDEST = 60
+
+
+@dataclass(frozen=True)
+class Bands:
+    """Bands of a binary hash, from bit lows[k] to lows[k + 1]. Of two hashes that differ in at most `threshold` bits,
+    one band differs in at most `flips` bits, as the bands are more than threshold / (flips + 1)."""
+
+    lows: tuple[int, ...]
+    flips: int
+
+    @property
+    def widths(self) -> list[int]:
+        return [b - a for a, b in itertools.pairwise(self.lows)]
+
+    def masks(self, k: int) -> list[int]:
+        """What turns a band's value into those within `flips` bits."""
+        return [sum(1 << i for i in some) for n in range(self.flips + 1) for some in itertools.combinations(range(self.widths[k]), n)]
+
+    def cost(self, hashes: int) -> float:
+        reach = [sum(math.comb(w, n) for n in range(self.flips + 1)) for w in self.widths]
+        return hashes * KEY_COST * sum(reach) + hashes**2 / 2 * sum(r / 2**w for r, w in zip(reach, self.widths, strict=True))
+
+    def values(self, hash_: Column) -> Column:
+        """The bands of a hash (array of bytes, lowest bit first) as longs."""
+        out = []
+        for lo, hi in itertools.pairwise(self.lows):
+            value = F.lit(0).cast("long")
+            for byte in range(lo // 8, (hi + 7) // 8):
+                first, last = max(lo - 8 * byte, 0), min(hi - 8 * byte, 8)
+                part = F.shiftright(F.element_at(hash_, byte + 1).cast("long"), first).bitwiseAND(F.lit((1 << (last - first)) - 1))
+                value = value.bitwiseOR(F.shiftleft(part, 8 * byte + first - lo))
+            out.append(value)
+        return F.array(*out)
+
+    def reached(self, values: str) -> Column:
+        """Band and value (at, value) of all that a few flipped bits of a column of bands give."""
+        def of(k: int) -> Column:
+            # literal masks, written as text, as there may be thousands of them
+            masks = F.expr(f"cast(split('{','.join(map(str, self.masks(k)))}', ',') as array<bigint>)")
+            return F.transform(masks, lambda m: F.struct(F.lit(k).alias("at"), F.element_at(values, k + 1).bitwiseXOR(m).alias("value")))
+
+        return F.concat(*map(of, range(len(self.widths))))
+
+    def first(self, a: str, b: str) -> Column:
+        """The first band in which two columns of bands meet."""
+        return F.array_position(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= self.flips), F.lit(True)) - 1
+
+
+def lay_out(length: int, threshold: int, expected: int = EXPECTED) -> Bands:
+    """The cheapest bands for hashes of `length` bytes: with more flips to try there are fewer and longer bands, so
+    more keys of a hash, but fewer candidates of a key."""
     total = 8 * length
-    if count > total:
+    if threshold >= total:
         raise ValueError("the threshold is as large as the hash")
-    keys = []
-    for k in range(count):
-        lo, hi = k * total // count, (k + 1) * total // count
-        bits = F.lit("")
-        for byte in range(lo // 8, (hi + 7) // 8):
-            first, last = max(lo - 8 * byte, 0), min(hi - 8 * byte, 8)
-            part = F.shiftright(F.element_at(hash_, byte + 1).cast("int"), first).bitwiseAND(F.lit((1 << (last - first)) - 1))
-            bits = F.concat_ws(".", bits, part.cast("string"))
-        keys.append(F.struct(F.lit(k).alias("band"), bits.alias("bits")))
-    return F.array(*keys)
+    found = []
+    for flips in range(3):
+        count = max(threshold // (flips + 1) + 1, -(-total // WIDEST))
+        if count <= total:
+            found.append(Bands(tuple(k * total // count for k in range(count + 1)), flips))
+    return min(found, key=lambda x: x.cost(min(expected, 2 ** min(total, 60))))
 
 
 def classes(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
@@ -37,30 +85,31 @@ def classes(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     return df.groupBy(F.col(hash_col).alias("h")).agg(F.min(id_col).alias("id"), F.count("*").alias("size"))
 
 
-def hamming_join(df: DataFrame, id_col: str, hash_col: str, length: int, threshold: int, expand: bool = False) -> DataFrame:
+def hamming_join(df: DataFrame, id_col: str, hash_col: str, length: int, threshold: int, expand: bool = False, expected: int = EXPECTED) -> DataFrame:
     """Pairs of hashes that differ in at most `threshold` bits, with their distance: id_a, id_b, distance.
 
-    Exact: candidates come from an equi join on bands, never from all pairs, and a pair that shares several bands is
-    kept in the first of them alone, so that no distinct is needed. Very common bands are split by adaptive
-    execution, as the join is a plain one. Rows with one hash are one class, which its smallest id stands for; with
-    expand, every pair of rows (id_a < id_b) is returned instead, also those of one class."""
+    Exact: candidates come from an equi join on bands, never from all pairs. One side has a key for each band, the
+    other one for each value that a few flipped bits of the band can give (`lay_out`, for about `expected` distinct
+    hashes), so that keys stay long where the threshold is large. A pair that several bands bring is kept in the
+    first of them alone, so that no distinct is needed. Very common bands are split by adaptive execution, as the
+    join is a plain one. Rows with one hash are one class, which its smallest id stands for; with expand, every pair
+    of rows (id_a < id_b) is returned instead, also those of one class, whose number is the square of its size."""
+    bands = lay_out(length, threshold, expected)
     rows = classes(df, id_col, hash_col)
-    keyed = rows.select("h", "id", metrics.packed(F.col("h")).alias("words"), F.posexplode(bands(F.col("h"), length, threshold)).alias("at", "key"))
-    a = keyed.select("key", "at", F.col("h").alias("ha"), F.col("words").alias("wa"), F.col("id").alias("id_a"))
-    b = keyed.select("key", F.col("h").alias("hb"), F.col("words").alias("wb"), F.col("id").alias("id_b"))
-    near = a.join(b, "key").where(F.col("id_a") < F.col("id_b"))
+    keyed = rows.select("id", metrics.packed(F.col("h")).alias("words"), bands.values(F.col("h")).alias("bands"))
+    a = keyed.select(F.col("id").alias("id_a"), F.col("words").alias("wa"), F.col("bands").alias("ba"), F.posexplode("bands").alias("at", "value"))
+    b = keyed.select(F.col("id").alias("id_b"), F.col("words").alias("wb"), F.col("bands").alias("bb"), F.explode(bands.reached("bands")).alias("x")).select("id_b", "wb", "bb", "x.at", "x.value")
+    near = a.join(b, ["at", "value"]).where(F.col("id_a") < F.col("id_b"))
     near = near.withColumn("distance", metrics.hamming_packed(F.col("wa"), F.col("wb"))).where(F.col("distance") <= threshold)
-    all_a, all_b = bands(F.col("ha"), length, threshold), bands(F.col("hb"), length, threshold)
-    first = F.array_position(F.zip_with(all_a, all_b, lambda x, y: x == y), F.lit(True)) - 1
-    near = near.where(first == F.col("at"))
+    near = near.where(bands.first("ba", "bb") == F.col("at")).select("id_a", "id_b", "distance")
     if not expand:
-        return near.select("id_a", "id_b", "distance")
-    side = lambda h, i: df.select(F.col(hash_col).alias(h), F.col(id_col).alias(i))
-    other = near.select("ha", "hb", "distance").join(side("ha", "x"), "ha").join(side("hb", "y"), "hb").select("x", "y", "distance")
-    twice = rows.where("size > 1").select("h")
-    many = side("h", "x").join(twice, "h")
-    same = many.join(many.select("h", F.col("x").alias("y")), "h").where("x < y").select("x", "y", F.lit(0.0).alias("distance"))
-    return other.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "distance")
+        return near
+    # Rows by the class that stands for them; a class of one row is that row.
+    of = df.join(rows.where("size > 1").select(F.col("h").alias("held"), F.col("id").alias("of")), F.col(hash_col) == F.col("held")).select("of", F.col(id_col).alias("row"))
+    side = lambda x, pairs: pairs.join(of.select(F.col("of").alias("c"), F.col("row").alias(f"row_{x}")), F.col(f"id_{x}") == F.col("c"), "left").withColumn(f"id_{x}", F.coalesce(f"row_{x}", f"id_{x}")).drop("c", f"row_{x}")
+    other = side("b", side("a", near))
+    same = of.join(of.select("of", F.col("row").alias("other")), "of").where("row < other").select(F.col("row").alias("id_a"), F.col("other").alias("id_b"), F.lit(0.0).alias("distance"))
+    return other.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance").unionByName(same)
 
 
 def pairs_within(df: DataFrame, key: str, id_col: str, columns: list[str]) -> DataFrame:
@@ -69,19 +118,36 @@ def pairs_within(df: DataFrame, key: str, id_col: str, columns: list[str]) -> Da
     return side("a").join(side("b"), (F.col("key") == F.col("key_b")) & (F.col("id_a") < F.col("id_b"))).drop("key_b")
 
 
+def _ranked(both: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def nearest(df: DataFrame, id_col: str, hash_col: str, k: int, distance: Callable[[Column, Column], Column], key: str | None = None) -> DataFrame:
     """The k nearest other rows of each row, ties by id: id, neighbour, distance, rank. With key, of rows that
-    share it. Ranks are cut to k before the shuffle of the window."""
+    share it. Ranks are cut to k before the shuffle of the window.
+
+    Any metric, so all pairs of a key are compared; keys should be small groups. Without a key, that is refused for
+    tables of more than BROADCAST_ROWS rows: binary hashes have nearest_within()."""
     cols = [F.col(id_col).alias("id"), F.col(hash_col).alias("h")] + ([F.col(key).alias("key")] if key else [])
     a = df.select(*cols)
     b = df.select(F.col(id_col).alias("neighbour"), F.col(hash_col).alias("g"), *([F.col(key).alias("key")] if key else []))
     if key:
         both = a.join(b, "key")
     else:
-        both = a.join(F.broadcast(b) if b.count() <= BROADCAST_ROWS else b)
+        if b.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            raise ValueError(f"comparing all pairs of more than {BROADCAST_ROWS} rows: give a key, or use nearest_within()")
+        both = a.join(F.broadcast(b))  # of a checked size
     both = both.where(F.col("id") != F.col("neighbour")).select("id", "neighbour", distance(F.col("h"), F.col("g")).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _ranked(both, k)
+
+
+def nearest_within(df: DataFrame, id_col: str, hash_col: str, length: int, k: int, threshold: int, expected: int = EXPECTED) -> DataFrame:
+    """The k nearest other rows, of those within `threshold` bits, of each row of a table of any size, ties by id: id,
+    neighbour, distance, rank. By hamming_join(); rows with no other one within the threshold have no row."""
+    pairs = hamming_join(df, id_col, hash_col, length, threshold, expand=True, expected=expected)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("neighbour"), "distance"), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("neighbour"), "distance"))).alias("x"))
+    return _ranked(both.select("x.*"), k)
 
 
 def equal_groups(df: DataFrame, id_col: str, hash_col: str) -> DataFrame:

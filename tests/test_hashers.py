@@ -177,3 +177,22 @@ def test_own_metric_and_kernel(spark):
     assert df.select(hasher.distance("a", "b").alias("d")).first()["d"] == 4
     out = rasters(spark, GRAY, None).select(kc.vector_column("raster", lambda x: x.reshape(len(x), -1)[:, :2]).alias("v")).collect()
     assert out[0]["v"] == GRAY.ravel()[:2].tolist() and out[1]["v"] is None
+
+
+def test_stream_of_all_formats(spark, tmp_path):
+    """JPEG, GIF and PNG files of one picture get one hash; a file that is no image gets none."""
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    jvm = spark.sparkContext._jvm
+    image = jvm.java.awt.image.BufferedImage(16, 16, 1)
+    for y in range(16):
+        for x in range(16):
+            image.setRGB(x, y, 0xFFFFFF if (x < 8) == (y < 8) else 0)
+    for kind in ("jpg", "gif", "png"):
+        assert jvm.javax.imageio.ImageIO.write(image, kind, jvm.java.io.File(str(folder / f"a.{kind}")))
+    (folder / "b.jpg").write_bytes(b"no image")
+    query = hashing.hash_stream(hashing.read_image_stream(spark, str(folder)), hh.Average()).select("path", "modificationTime", "hash").writeStream.format("memory").queryName("mixed").trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in spark.table("mixed").collect()}
+    assert len(rows) == 4 and all(r["modificationTime"] is not None for r in rows.values())
+    assert rows["a.jpg"]["hash"] == rows["a.gif"]["hash"] == rows["a.png"]["hash"] != None and rows["b.jpg"]["hash"] is None  # noqa: E711
