@@ -213,7 +213,8 @@ def radial_features(gray: np.ndarray, angles: int) -> np.ndarray:
         return (feature - mean) / spread
 
 
-def radial_bytes(gray: np.ndarray, angles: int, size: int = 40) -> np.ndarray:
+def radial_scaled(gray: np.ndarray, angles: int, size: int = 40) -> np.ndarray:
+    """The low frequencies of the features, on a scale from 0 to 255; zeros for images without any."""
     f = radial_features(gray, angles)
     k, j = np.arange(size)[:, None], np.arange(angles)[None, :]
     basis = np.cos(np.pi * (2 * j + 1) * k / (2 * angles)) * np.where(k == 0, 1, math.sqrt(2)) / math.sqrt(angles)
@@ -222,7 +223,11 @@ def radial_bytes(gray: np.ndarray, angles: int, size: int = 40) -> np.ndarray:
     c[bad] = 0
     high, low = np.maximum(c.max(axis=1), 0)[:, None], np.minimum(c.min(axis=1), 0)[:, None]
     range_ = np.where(high > low, high - low, 1.0)
-    return np.where(high > low, 255 * (c - low) / range_, 0).astype(np.uint8)
+    return np.where(high > low, 255 * (c - low) / range_, 0)
+
+
+def radial_bytes(gray: np.ndarray, angles: int, size: int = 40) -> np.ndarray:
+    return radial_scaled(gray, angles, size).astype(np.uint8)
 
 
 # Layout and edges
@@ -580,6 +585,7 @@ def word_histogram(gray: np.ndarray, feature: Feature, most: int, vocabulary: in
     return np.bincount(words.astype(np.int64), minlength=vocabulary).astype(np.float64)
 
 
+#: Modulus, and below the starts and steps of the sketches' generators. Fixed values.
 MINHASH_PRIME = 4294967291
 
 

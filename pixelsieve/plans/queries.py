@@ -20,6 +20,9 @@ from pixelsieve.operators import hashers as hh
 from pixelsieve.operators import kernel_columns as kc
 from pixelsieve.operators import rasterize as rz
 from pixelsieve.operators import similarity as sim
+from pixelsieve.plans import image_sql
+from pixelsieve.plans.sql import R8
+from pixelsieve.plans.sql import numbers as _numbers
 from pixelsieve.sources.images import colour_raster, gray_raster
 from pixelsieve.types import BlockMethod, Feature, Interpolation, Kind, Storage
 
@@ -58,10 +61,6 @@ def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", colour_raster(F.col("p"), F.reverse("p"), F.transform("p", lambda v: 255 - v), 8, 8).alias("raster"))
 
 
-R8 = """r AS (SELECT vec_id, label, list_transform(embedding,
-  lambda e: CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 1) * 127.5))) AS INTEGER)) AS p FROM embeddings)"""
-
-
 def _bytes(bits: str, high_first: bool = False) -> str:
     """SQL: a list of booleans as the string of its bytes."""
     weight = "(128 >> i)" if high_first else "(1 << i)"
@@ -73,11 +72,6 @@ def _packed(cte: str, source: str, bits: str = "bits", key: str = "vec_id") -> s
     return f"WITH {cte} SELECT {key}, {_bytes(bits)} AS hash FROM {source}"
 
 
-def _numbers(values) -> str:
-    """SQL: a list of doubles (without an exponent they would be decimals)."""
-    return "[" + ", ".join(f"{float(v):.17e}" for v in values) + "]"
-
-
 def _rounded(column, digits: int = 6):
     return F.transform(column, lambda v: F.round(v, digits) + 0.0)
 
@@ -264,7 +258,7 @@ def ehd_edges(spark, sf_dir):
     return gray_images(spark, sf_dir).select("vec_id", kc.vector_column("raster", types, "array<int>").alias("edge"))
 
 
-@_query("ehd_hist")
+@_query("ehd_hist", image_sql.SQL["ehd_hist"])
 def ehd_hist(spark, sf_dir):
     return gray_images(spark, sf_dir).select("vec_id", hh.EHD().hash("raster").alias("hash"))
 
@@ -382,6 +376,10 @@ def _metric_query(name: str, sql: str, fn, source=_pairs, cte: str = _PAIRS, col
 _metric_query("hamming", _sum_sql("abs(X - Y)::DOUBLE"), metrics.hamming, _hash_pairs, _BITS, "h")
 _WEIGHTS = (1.0, 2.0, 0.5, 1.0, 3.0, 1.0, 0.25, 1.5)
 _metric_query("weighted_hamming", _sum_sql(f"abs(X - Y) * {_numbers(_WEIGHTS)}[CAST(k // 8 + 1 AS INTEGER)]"), lambda a, b: metrics.weighted_hamming(a, b, _WEIGHTS), _hash_pairs, _BITS, "h")
+# Of unequal lengths: Hamming cuts the longer hash, Jaccard counts its bits as other ones
+_CUT = _BITS.replace("b.p AS y", "b.p[1:40] AS y")
+_metric_query("hamming_uneven", _sum_sql("abs(X - Y)::DOUBLE", 40), lambda a, b: metrics.hamming(a, F.slice(b, 1, 5)), _hash_pairs, _CUT, "h")
+_metric_query("jaccard_uneven", f"CASE WHEN {_sum_sql('greatest(X, coalesce(Y, 0))::DOUBLE')} = 0 THEN 0 ELSE 1 - {_sum_sql('(X * coalesce(Y, 0))::DOUBLE')} / {_sum_sql('greatest(X, coalesce(Y, 0))::DOUBLE')} END", lambda a, b: metrics.jaccard(a, F.slice(b, 1, 5)), _hash_pairs, _CUT, "h")
 _metric_query("l1", _sum_sql("abs(X - Y)::DOUBLE"), metrics.l1)
 _metric_query("l2", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})", metrics.l2)
 _metric_query("cosine", f"1 - {_sum_sql('(X * Y)::DOUBLE')} / (sqrt({_sum_sql('(X * X)::DOUBLE')}) * sqrt({_sum_sql('(Y * Y)::DOUBLE')}))", metrics.cosine)
@@ -673,7 +671,7 @@ def hog_cells(spark, sf_dir):
     return gray_images(spark, sf_dir).select("vec_id", hh.HOG(width=8, height=8, cell=4).hash("raster").alias("hash"))
 
 
-# Hashers whose kernels SQL can't say in reason; tests hold them against plain loops
+# Hashers over images, with SQL where it can say the kernel in reason; tests hold all of them against plain loops
 
 
 def _hasher_query(name: str, hasher: hh.Hasher, colour: bool = False):
@@ -682,7 +680,7 @@ def _hasher_query(name: str, hasher: hh.Hasher, colour: bool = False):
         out = hasher.hash("raster")
         return images.select("vec_id", (F.transform(out, lambda v: F.round(v, 9)) if hasher.kind == Kind.FLOAT64 else out).alias("hash"))
 
-    _query(name)(run)
+    _query(name, image_sql.SQL.get(name))(run)
 
 
 for _name, _hasher, _colour in [
@@ -711,19 +709,27 @@ for _name, _hasher, _colour in [
     _hasher_query(_name, _hasher, _colour)
 
 
-@_query("jarosz")
+@_query("jarosz", image_sql.SQL["jarosz"])
 def jarosz(spark, sf_dir):
     out = kc.vector_column("raster", lambda x: im.jarosz(im.to_gray(x), 2, 2).reshape(len(x), -1))
     return gray_images(spark, sf_dir).select("vec_id", _rounded(out, 3).alias("pixels"))
 
 
-@_query("log_filter")
+@_query("log_filter", image_sql.SQL["log_filter"])
 def log_filter(spark, sf_dir):
     kernel = ds.marr_hildreth_kernel(1.0, 1.0)
     out = kc.vector_column("raster", lambda x: im.correlate(im.to_gray(x), kernel).reshape(len(x), -1))
     return gray_images(spark, sf_dir).select("vec_id", _rounded(out, 3).alias("pixels"))
 
 
+@_query("radial_scaled", image_sql.SQL["radial_scaled"])
+def radial_scaled(spark, sf_dir):
+    """radial_variance before it is cut to bytes, to six digits: the byte of the largest coefficient hangs on the last
+    digit of a sum, so that SQL can't be held to it."""
+    out = kc.vector_column("raster", lambda x: ds.radial_scaled(im.gaussian_blur(im.to_gray(x), 0, 1.0), 180))
+    return gray_images(spark, sf_dir).select("vec_id", _rounded(out).alias("hash"))
+
+
 def _keypoints_query(feature: Feature):
     def run(spark, sf_dir):
         return kc.keypoints(gray_images(spark, sf_dir), "vec_id", "raster", feature, 64, 50)
@@ -731,8 +737,8 @@ def _keypoints_query(feature: Feature):
     return run
 
 
-_query("orb_keypoints")(_keypoints_query(Feature.ORB))
-_query("akaze_keypoints")(_keypoints_query(Feature.AKAZE))
+_query("orb_keypoints", image_sql.SQL["orb_keypoints"])(_keypoints_query(Feature.ORB))
+_query("akaze_keypoints", image_sql.SQL["akaze_keypoints"])(_keypoints_query(Feature.AKAZE))
 
 
 def nearest_images(spark: SparkSession, sf_dir: str) -> DataFrame:
