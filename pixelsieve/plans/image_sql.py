@@ -30,12 +30,26 @@ def along(name: str, source: str, axis: str, matrix: np.ndarray, columns=("v",))
     return f"{name} AS (SELECT vec_id, {other}, t.place AS {axis}, {sums} FROM {source} JOIN {table(entries(matrix), 't(place, f, w)')} ON {source}.{axis} = t.f GROUP BY vec_id, {other}, t.place)"
 
 
+def _one_axis(name: str, source: str, axis: str, matrix: np.ndarray, columns) -> str:
+    """As along(), term by term in the order of places, from lists of the lines' pixels."""
+    other = "x" if axis == "y" else "y"
+    rows, most = [], max(int(np.count_nonzero(line)) for line in matrix)
+    for place, line in enumerate(matrix):
+        f = np.flatnonzero(line)
+        f = np.concatenate((f, np.full(most - len(f), f[-1])))
+        rows.append((place, *f.tolist(), *line[f][: np.count_nonzero(line)], *[0.0] * (most - np.count_nonzero(line))))
+    taps = table(rows, f"t(place, {', '.join(f'f{k}' for k in range(most))}, {', '.join(f'w{k}' for k in range(most))})")
+    sums = ", ".join(" + ".join(f"l.{c}[f{k} + 1] * w{k}" for k in range(most)) + f" AS {c}" for c in columns)
+    lists = ", ".join(f"list({c} ORDER BY {axis}) AS {c}" for c in columns)
+    return f"{name}_l AS (SELECT vec_id, {other}, {lists} FROM {source} GROUP BY vec_id, {other}), {name} AS (SELECT vec_id, {other}, t.place AS {axis}, {sums} FROM {name}_l l, {taps})"
+
+
 def resized(name: str, source: str, width: int, height: int, interpolation: Interpolation, columns=("v",), size: int = 8) -> str:
     """Separable resampling, rounded to 16 bits and cut to 8."""
     cut = ", ".join(f"greatest(0, least(65535, floor({c} * 257 + 0.5)))::BIGINT >> 8 AS {c}" for c in columns)
     return ", ".join((
-        along(f"{name}_a", source, "x", im.resampling_weights(size, width, interpolation), columns),
-        along(f"{name}_b", f"{name}_a", "y", im.resampling_weights(size, height, interpolation), columns),
+        _one_axis(f"{name}_a", source, "x", im.resampling_weights(size, width, interpolation), columns),
+        _one_axis(f"{name}_b", f"{name}_a", "y", im.resampling_weights(size, height, interpolation), columns),
         f"{name} AS (SELECT vec_id, y, x, {cut} FROM {name}_b)",
     ))
 
@@ -81,24 +95,9 @@ def wavelet() -> str:
     return packed(f"{COLOUR}, {resized('rz', 'px', 64, 64, Interpolation.BILINEAR, RGB)}, {luma('rz')}, {low}", "SELECT vec_id, k, v > m AS bit FROM l JOIN m USING (vec_id)")
 
 
-def enlarged(name: str, source: str, size: int, interpolation: Interpolation, columns=("v",)) -> str:
-    """As resized(), for 8 x 8 images that become much larger: no sum of an enlarged image is grouped."""
-    rows = []
-    for at, line in enumerate(im.resampling_weights(8, size, interpolation)):
-        f = np.flatnonzero(line)
-        rows.append((at, int(f[0]), line[f[0]], int(f[-1]), line[f[-1]] if len(f) > 1 else 0.0))
-    taps = table(rows, "t(place, f, v1, l, v2)")
-    across = ", ".join(f"a.{c} * t.v1 + e.{c} * t.v2 AS {c}" for c in columns)
-    down = ", ".join(f"greatest(0, least(65535, floor((a.{c} * t.v1 + e.{c} * t.v2) * 257 + 0.5)))::BIGINT >> 8 AS {c}" for c in columns)
-    return (
-        f"{name}_a AS (SELECT a.vec_id, a.y, t.place AS x, {across} FROM {taps} JOIN {source} a ON a.x = t.f JOIN {source} e ON e.vec_id = a.vec_id AND e.y = a.y AND e.x = t.l), "
-        f"{name} AS (SELECT a.vec_id, t.place AS y, a.x, {down} FROM {taps} JOIN {name}_a a ON a.y = t.f JOIN {name}_a e ON e.vec_id = a.vec_id AND e.x = a.x AND e.y = t.l)"
-    )
-
-
 def block_mean() -> str:
     blocks = "s AS (SELECT vec_id, (y // 16) * 16 + x // 16 AS k, sum(v) AS s FROM gr GROUP BY ALL), m AS (SELECT vec_id, sum(s) AS m FROM s GROUP BY vec_id)"
-    return packed(f"{COLOUR}, {enlarged('rz', 'px', 256, Interpolation.BILINEAR_EXACT, RGB)}, {luma('rz')}, {blocks}", "SELECT vec_id, k, s * 256 >= m AS bit FROM s JOIN m USING (vec_id)")
+    return packed(f"{COLOUR}, {resized('rz', 'px', 256, 256, Interpolation.BILINEAR_EXACT, RGB)}, {luma('rz')}, {blocks}", "SELECT vec_id, k, s * 256 >= m AS bit FROM s JOIN m USING (vec_id)")
 
 
 def turned(overlap: bool) -> str:
@@ -195,7 +194,7 @@ def edges() -> str:
     corner = lambda dy, dx: f"sum(CASE WHEN y % 2 = {dy} AND x % 2 = {dx} THEN v ELSE 0 END)"
     levels = "[" + ", ".join(numbers(row) for row in ds.EDGE_CENTROIDS) + "]"
     return (
-        f"WITH {GRAY}, {enlarged('rz', 'px', 256, Interpolation.BILINEAR)}, "
+        f"WITH {GRAY}, {resized('rz', 'px', 256, 256, Interpolation.BILINEAR)}, "
         f"q AS (SELECT vec_id, y // 2 AS y2, x // 2 AS x2, {corner(0, 0)} AS a, {corner(0, 1)} AS b, {corner(1, 0)} AS c, {corner(1, 1)} AS d FROM rz GROUP BY vec_id, y // 2, x // 2), "
         "e AS (SELECT vec_id, (y2 // 32) * 4 + x2 // 32 AS cell, [abs(a - b + c - d)::DOUBLE, abs(a + b - c - d)::DOUBLE, abs(sqrt(2) * (a - d)), abs(sqrt(2) * (b - c)), abs(2 * (a - b - c + d))::DOUBLE] AS s FROM q), "
         f"t AS (SELECT vec_id, cell, CASE WHEN list_max(s) >= {ds.EDGE_THRESHOLD} THEN list_position(s, list_max(s)) ELSE 0 END AS kind FROM e), "
