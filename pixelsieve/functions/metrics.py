@@ -1,4 +1,4 @@
-"""Metrics between hash columns, as JVM expressions.
+"""Metrics between hash columns, as JVM expressions (but for PCC).
 
 Hashes are arrays: bytes of a binary hash (0 to 255), whole numbers, or doubles. Hamming, L1, L2, cosine and
 chi-square compare up to the shorter length; PCC and the Jaccard distance of vectors need equal lengths.
@@ -6,8 +6,10 @@ chi-square compare up to the shorter length; PCC and the Jaccard distance of vec
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,37 +102,45 @@ def chi_square(a: Column, b: Column) -> Column:
     return _total(_paired(a, b, term))
 
 
+#: Pairs whose shifts are looked at together.
+PCC_ROWS = 512
+
+
+def _peaks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest correlation of each row of a with any circular shift of its row of b."""
+    n = a.shape[1]
+    shifts = (np.arange(n)[None, :] - np.arange(n)[:, None]) % n
+    sides, spreads = [], []
+    for x in (a.astype(np.float32), b.astype(np.float32)):
+        wide = x.astype(np.float64)
+        mean = wide.mean(axis=1, keepdims=True)
+        spreads.append(np.sqrt(np.maximum((wide * wide).mean(axis=1) - mean[:, 0] ** 2, 0)))
+        sides.append((x - mean.astype(np.float32)).astype(np.float64))
+    best = np.empty(len(a))
+    for lo in range(0, len(a), PCC_ROWS):
+        rows = slice(lo, lo + PCC_ROWS)
+        best[rows] = np.einsum("pk,prk->pr", sides[0][rows], sides[1][rows][:, shifts]).max(axis=1)
+    return np.maximum(best / n / (spreads[0] * spreads[1] + 1e-20), 5e-324)
+
+
+def _pcc(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        out = np.full(len(a), np.nan)
+        size = np.array([len(x) if x is not None and y is not None and len(x) == len(y) else -1 for x, y in zip(a, b, strict=True)], np.int64)
+        out[size == 0] = 5e-324
+        for n in np.unique(size[size > 0]).tolist():
+            at = np.flatnonzero(size == n)
+            out[at] = _peaks(np.stack([a.iloc[k] for k in at]), np.stack([b.iloc[k] for k in at]))
+        yield pd.Series(out)
+
+
 def pcc(a: Column, b: Column) -> Column:
     """The largest correlation of a with any circular shift of b: larger is nearer. Centred values are single
-    precision; the result is never below the smallest positive double."""
-    n = F.size(a)
-
-    def moments(x: Column) -> tuple[Column, Column]:
-        single = F.transform(x, lambda v: v.cast("float").cast("double"))
-        mean = _total(single) / n
-        var = _total(F.transform(single, lambda v: v * v)) / n - mean * mean
-        return mean, F.sqrt(F.greatest(var, F.lit(0.0)))
-
-    (ma, sa), (mb, sb) = moments(a), moments(b)
-    prepared = F.struct(
-        F.transform(a, lambda v: (v.cast("float") - ma.cast("float")).cast("double")).alias("a"),
-        F.transform(b, lambda v: (v.cast("float") - mb.cast("float")).cast("double")).alias("b"),
-        (sa * sb + 1e-20).alias("s"),
-    )
-    # one element's array, so that the centred values are computed once, not for every shift
-    peaks = F.transform(
-        F.array(prepared),
-        lambda p: F.aggregate(
-            F.sequence(F.lit(0), F.size(p["a"]) - 1),
-            F.lit(5e-324),
-            lambda best, r: F.greatest(
-                best,
-                _total(F.zip_with(p["a"], F.when(r == 0, p["b"]).otherwise(F.concat(F.slice(p["b"], F.size(p["b"]) - r + 1, r), F.slice(p["b"], F.lit(1), F.size(p["b"]) - r))), lambda x, y: x * y)) / F.size(p["a"]) / p["s"],
-            ),
-        ),
-    )
-    value = F.when(n == 0, F.lit(5e-324)).otherwise(F.element_at(peaks, 1))
-    return F.when(n == F.size(b), value).when(a.isNotNull() & b.isNotNull(), _fail(err.NotSameLength))
+    precision; the result is never below the smallest positive double. Of n values n * n products a pair: in Arrow
+    batches."""
+    run = F.pandas_udf(_pcc, "double")
+    value = run(a.cast("array<double>"), b.cast("array<double>"))
+    return F.when(F.size(a) == F.size(b), value).when(a.isNotNull() & b.isNotNull(), _fail(err.NotSameLength))
 
 
 def jaccard(a: Column, b: Column, kind: Kind = Kind.BINARY) -> Column:

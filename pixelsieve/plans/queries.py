@@ -390,29 +390,12 @@ _metric_query("generic_compare", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')
 _metric_query("distance_override", _sum_sql("abs(X - Y)::DOUBLE"), lambda a, b: hh.CLD(metric=metrics.l1).distance(a, b))
 
 
-def _first16(spark, sf_dir):
-    rows = hh.spread(r8(spark, sf_dir)).select("vec_id", "label", F.slice("p", 1, 16).alias("p"))
-    return sim.pairs_within(rows, "label", "vec_id", ["p"])
-
-
-_PCC = R8 + """, q AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, a.p[1:16] AS x, b.p[1:16] AS y FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id),
+_PCC = _PAIRS + """,
 m AS (SELECT id_a, id_b, list_transform(x, lambda v: (v::FLOAT - list_avg(x)::FLOAT)::DOUBLE) AS x, list_transform(y, lambda v: (v::FLOAT - list_avg(y)::FLOAT)::DOUBLE) AS y, list_stddev_pop(x) * list_stddev_pop(y) + 1e-20 AS s FROM q)"""
-SQL["pcc"] = f"WITH {_PCC} SELECT id_a, id_b, round(list_max(list_transform(range(16), lambda t: {_sum_sql('X * y[CAST((k - t + 16) % 16 + 1 AS INTEGER)]', 16)} / 16 / s)), 6) AS distance FROM m"
 
 
-@_query("pcc", SQL["pcc"])
+@_query("pcc", f"WITH {_PCC} SELECT id_a, id_b, round(list_max(list_transform(range(64), lambda t: {_sum_sql('X * y[CAST((k - t + 64) % 64 + 1 AS INTEGER)]')} / 64 / s)), 6) AS distance FROM m")
 def pcc(spark, sf_dir):
-    """Of the first 16 values only, as its SQL; pcc_whole is of all 64."""
-    rows = _first16(spark, sf_dir)
-    return rows.select("id_a", "id_b", F.round(metrics.pcc(F.col("p_a"), F.col("p_b")), 6).alias("distance"))
-
-
-_PCC_WHOLE = _PAIRS + """,
-m AS (SELECT id_a, id_b, list_transform(x, lambda v: (v::FLOAT - list_avg(x)::FLOAT)::DOUBLE) AS x, list_transform(y, lambda v: (v::FLOAT - list_avg(y)::FLOAT)::DOUBLE) AS y, list_stddev_pop(x) * list_stddev_pop(y) + 1e-20 AS s FROM q)"""
-
-
-@_query("pcc_whole", f"WITH {_PCC_WHOLE} SELECT id_a, id_b, round(list_max(list_transform(range(64), lambda t: {_sum_sql('X * y[CAST((k - t + 64) % 64 + 1 AS INTEGER)]')} / 64 / s)), 6) AS distance FROM m")
-def pcc_whole(spark, sf_dir):
     rows = _pairs(spark, sf_dir)
     return rows.select("id_a", "id_b", F.round(metrics.pcc(F.col("p_a"), F.col("p_b")), 6).alias("distance"))
 

@@ -46,7 +46,7 @@ def test_rows(spark, name):
     assert q.QUERIES[name](spark, SF).count() > 0 or name.endswith("keypoints")
 
 
-def test_pcc_whole(spark, tmp_path):
+def test_pcc(spark, tmp_path):
     """Values 17 to 64 count: pairs that agree on the first 16 differ."""
     rng = random.Random(3)
     first = [rng.uniform(-1, 1) for _ in range(16)]
@@ -59,7 +59,7 @@ def test_pcc_whole(spark, tmp_path):
     def brute(a, b):
         return max(sum((a[k] - mean(a)) * (b[(k - t) % 64] - mean(b)) for k in range(64)) / 64 for t in range(64)) / (std(a) * std(b))
 
-    got = {(r["id_a"], r["id_b"]): r["distance"] for r in q.QUERIES["pcc_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in q.QUERIES["pcc"](spark, str(tmp_path)).collect()}
     assert len(got) == 6
     for (a, b), value in got.items():
         assert abs(value - brute(pixels[a], pixels[b])) < 2e-6 and value < 0.99
