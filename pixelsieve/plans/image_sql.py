@@ -57,12 +57,15 @@ def resized(name: str, source: str, width: int, height: int, interpolation: Inte
 def blurred(name: str, source: str, size: int, taps: np.ndarray, columns=("v",)) -> str:
     matrix = im._one_axis(np.eye(size, dtype=np.int64), taps, 1).T
     cut = ", ".join(f"greatest(0, least(255, ({c} + 32768)::BIGINT >> 16)) AS {c}" for c in columns)
-    return ", ".join((along(f"{name}_a", source, "x", matrix, columns), along(f"{name}_b", f"{name}_a", "y", matrix, columns), f"{name} AS (SELECT vec_id, y, x, {cut} FROM {name}_b)"))
+    return ", ".join((_one_axis(f"{name}_a", source, "x", matrix, columns), _one_axis(f"{name}_b", f"{name}_a", "y", matrix, columns), f"{name} AS (SELECT vec_id, y, x, {cut} FROM {name}_b)"))
 
 
 def packed(ctes: str, bits: str) -> str:
     """Bytes of a table of bits: vec_id, k, bit."""
-    return f"WITH {ctes}, b AS ({bits}), w AS (SELECT vec_id, k // 8 AS place, sum(CASE WHEN bit THEN 1 << (k % 8)::INTEGER ELSE 0 END)::INTEGER AS byte FROM b GROUP BY ALL) SELECT vec_id, list(byte ORDER BY place) AS hash FROM w GROUP BY vec_id"
+    return (
+        f"WITH {ctes}, out_bits AS ({bits}), out_bytes AS (SELECT vec_id, k // 8 AS place, sum(CASE WHEN bit THEN 1 << (k % 8)::INTEGER ELSE 0 END)::INTEGER AS byte FROM out_bits GROUP BY ALL) "
+        "SELECT vec_id, list(byte ORDER BY place) AS hash FROM out_bytes GROUP BY vec_id"
+    )
 
 
 def average() -> str:
@@ -204,6 +207,28 @@ def edges() -> str:
     )
 
 
+def binary_patterns() -> str:
+    row = {-1: "up", 0: "c", 1: "dn"}
+    code = " + ".join(f"CASE WHEN coalesce({row[dy]}[t.x + 1 + {dx}], -1) >= c[t.x + 1] THEN {1 << k} ELSE 0 END" for k, (dx, dy) in enumerate(ds.LBP_NEIGHBOURS))
+    return (
+        f"WITH {GRAY}, {resized('rz', 'px', 256, 256, Interpolation.BILINEAR)}, l AS (SELECT vec_id, y, list(v ORDER BY x) AS c FROM rz GROUP BY vec_id, y), "
+        "n AS (SELECT a.vec_id, a.c, b.c AS up, d.c AS dn FROM l a LEFT JOIN l b ON b.vec_id = a.vec_id AND b.y = a.y - 1 LEFT JOIN l d ON d.vec_id = a.vec_id AND d.y = a.y + 1), "
+        f"h AS (SELECT vec_id, {code} AS code, count(*) AS n FROM n, range(256) t(x) GROUP BY ALL), m AS (SELECT vec_id, max(n) AS top FROM h GROUP BY vec_id) "
+        "SELECT vec_id, list(floor(coalesce(n, 0) * 255.0::DOUBLE / top)::INTEGER ORDER BY code) AS hash FROM m CROSS JOIN range(256) g(code) LEFT JOIN h USING (vec_id, code) GROUP BY vec_id"
+    )
+
+
+def rings(count: int = 180, keep: int = 64) -> str:
+    ring = f"least({count - 1}, floor(sqrt((x + 0.5 - 128) * (x + 0.5 - 128) + (y + 0.5 - 128) * (y + 0.5 - 128)) / (128e0 / {count})))::BIGINT"
+    means = (
+        f"g AS (SELECT vec_id, {ring} AS ring, sum(v)::DOUBLE / count(*) AS m FROM u GROUP BY ALL), "
+        f"a AS (SELECT vec_id, ring, coalesce(m, 0) AS m FROM (SELECT DISTINCT vec_id FROM g) CROSS JOIN range({count}) e(ring) LEFT JOIN g USING (vec_id, ring)), "
+        f"c AS (SELECT vec_id, k - 1 AS k, sum(m * cos(pi() * (2 * ring + 1) * k / {2 * count}) * sqrt(2e0 / {count})) AS c FROM a, range(1, {keep + 1}) t(k) GROUP BY ALL), "
+        f"m AS (SELECT vec_id, (list(c ORDER BY c))[{keep // 2 + 1}] AS m FROM c GROUP BY vec_id)"
+    )
+    return packed(f"{GRAY}, {resized('rz', 'px', 256, 256, Interpolation.BILINEAR)}, {blurred('u', 'rz', 256, im.blur_taps(0, 1.0))}, {means}", "SELECT vec_id, k, c > m AS bit FROM c JOIN m USING (vec_id)")
+
+
 def zernike(degree: int = 8) -> str:
     terms = []
     for i, (n, m) in enumerate(ds.zernike_orders(degree)):
@@ -257,16 +282,18 @@ def _strongest(responses: str, radius: int, most: int) -> str:
         "LEFT JOIN o ON o.vec_id = a.vec_id AND o.y = a.y + dy AND o.x = a.x + dx GROUP BY ALL), "
         f"k AS (SELECT vec_id, y, x, r, row_number() OVER (PARTITION BY vec_id ORDER BY r DESC, y, x)::INTEGER AS rank FROM n WHERE near < r AND y BETWEEN {radius} AND {63 - radius} AND x BETWEEN {radius} AND {63 - radius}), "
         f"w AS (SELECT k.vec_id, rank, x, y, r, sum(dy * q[((y + dy) * 64 + x + dx + 1)::INTEGER]) AS down, sum(dx * q[((y + dy) * 64 + x + dx + 1)::INTEGER]) AS along "
-        f"FROM k JOIN i USING (vec_id), range({-radius}, {radius + 1}) f(dy), range({-radius}, {radius + 1}) g(dx) WHERE rank <= {most} GROUP BY ALL) "
-        "SELECT vec_id AS id, rank, x, y, r::DOUBLE AS response, round(atan2(down, along), 6) AS angle FROM w"
+        f"FROM k JOIN i USING (vec_id), range({-radius}, {radius + 1}) f(dy), range({-radius}, {radius + 1}) g(dx) WHERE rank <= {most} GROUP BY ALL)"
     )
 
 
+_KEYPOINTS = " SELECT vec_id AS id, rank, x, y, r::DOUBLE AS response, round(atan2(down, along), 6) AS angle FROM w"
+
+
 def _lists(name: str, source: str, out: str = "q") -> str:
     return f"{name} AS (SELECT vec_id, list(v::INTEGER ORDER BY y, x) AS {out} FROM {source} GROUP BY vec_id)"
 
 
-def fast_keypoints(most: int = 50) -> str:
+def _fast(most: int) -> str:
     offsets = "[" + ", ".join(str(64 * dy + dx) for dx, dy in ds.FAST_CIRCLE) + "]"
     mask = lambda test: f"list_sum(list_transform(range(16), lambda k: CASE WHEN ring[CAST(k + 1 AS INTEGER)] {test} THEN 1 << k::INTEGER ELSE 0 END))::BIGINT"
     run = lambda m: f"len(list_filter(range(16), lambda k: ((({m} | ({m} << 16)) >> k::INTEGER) & 511) = 511)) > 0"
@@ -279,7 +306,7 @@ def fast_keypoints(most: int = 50) -> str:
     )
 
 
-def hessian_keypoints(most: int = 50) -> str:
+def _hessian(most: int) -> str:
     at = lambda k, dy, dx: f"q{k}[((t.y + {dy}) * 64 + u.x + {dx} + 1)::INTEGER]"
     parts, terms = [], []
     for k, sigma in enumerate(ds.AKAZE_SCALES):
@@ -295,6 +322,50 @@ def hessian_keypoints(most: int = 50) -> str:
     )
 
 
+def _words(feature: Feature = Feature.ORB, vocabulary: int = 256, most: int = 500) -> str:
+    """Named d: the visual words (vec_id, word, n) of the images' keypoints, from pixels or, for AKAZE, from sums of
+    3 x 3 pixels of a blurred image."""
+    radius, seed = ds.FEATURES[feature][1:]
+    pairs = table([(k, *map(int, row)) for k, row in enumerate(ds.sampling_pairs(radius, seed))], "p(k, x1, y1, x2, y2)")
+    inside = lambda i: f"(CASE WHEN abs({i}) % 126 < 64 THEN abs({i}) % 126 ELSE 126 - abs({i}) % 126 END)"
+    value = lambda n: f"q[({inside(f'(y + round(s * x{n} + c * y{n}))::BIGINT')} * 64 + {inside(f'(x + round(c * x{n} - s * y{n}))::BIGINT')} + 1)::INTEGER]"
+    pixels, source = "", "i"
+    if feature == Feature.AKAZE:
+        three = np.zeros((64, 64))
+        for at in range(64):
+            np.add.at(three[at], im.reflect(np.arange(at - 1, at + 2), 64), 1)
+        pixels = f", {blurred('bl', 'rz', 64, im.blur_taps(0, 1.2))}, {_one_axis('th_a', 'bl', 'x', three, ('v',))}, {_one_axis('th', 'th_a', 'y', three, ('v',))}, {_lists('j', 'th')}"
+        source = "j"
+    return (
+        f"{(_hessian if feature == Feature.AKAZE else _fast)(most)}{pixels}, t AS (SELECT vec_id, rank, x, y, cos(atan2(down, along)) AS c, sin(atan2(down, along)) AS s FROM w), "
+        f"b AS (SELECT vec_id, rank, k // 8 AS place, sum(CASE WHEN {value(1)} < {value(2)} THEN 1 << (k % 8)::INTEGER ELSE 0 END)::BIGINT AS byte FROM t JOIN {source} USING (vec_id), {pairs} GROUP BY ALL), "
+        "f AS (SELECT vec_id, rank, list_reduce(list(byte ORDER BY place), lambda h, v: (xor(h, v) * 16777619) & 4294967295, 2166136261::BIGINT) AS h FROM b GROUP BY vec_id, rank), "
+        f"d AS (SELECT vec_id, h % {vocabulary} AS word, count(*)::DOUBLE AS n FROM f GROUP BY ALL)"
+    )
+
+
+def word_simhash(bits: int = 128, vocabulary: int = 256) -> str:
+    signs = "[" + ", ".join("[" + ", ".join(str(int(v)) for v in row) + "]" for row in ds.simhash_signs(vocabulary, bits).T) + "]"
+    return packed(
+        f"{_words(Feature.AKAZE)[5:]}, hi AS (SELECT r.vec_id, list(coalesce(n, 0) ORDER BY g.word) AS h FROM r CROSS JOIN range({vocabulary}) g(word) LEFT JOIN d ON d.vec_id = r.vec_id AND d.word = g.word GROUP BY r.vec_id), "
+        f"si AS (SELECT vec_id, list_transform({signs}, lambda s: list_sum(list_transform(range({vocabulary}), lambda k: h[CAST(k + 1 AS INTEGER)] * s[CAST(k + 1 AS INTEGER)])) > 0) AS bits FROM hi)",
+        f"SELECT vec_id, (t.k)::INTEGER AS k, bits[(t.k + 1)::INTEGER] AS bit FROM si, range({bits}) t(k)",
+    )
+
+
+def word_histogram(vocabulary: int = 256) -> str:
+    return (
+        f"{_words(vocabulary=vocabulary)}, e AS (SELECT vec_id, sqrt(sum(n * n)) AS norm FROM d GROUP BY vec_id) "
+        f"SELECT r.vec_id, list(round(coalesce(n / norm, 0), 9) ORDER BY g.word) AS hash FROM r CROSS JOIN range({vocabulary}) g(word) LEFT JOIN d ON d.vec_id = r.vec_id AND d.word = g.word LEFT JOIN e ON e.vec_id = r.vec_id GROUP BY r.vec_id"
+    )
+
+
+def word_minhash(size: int = 64) -> str:
+    factors = "[" + ", ".join(f"[{a}::HUGEINT, {c}::HUGEINT]" for a, c in ds.minhash_factors(size)) + "]"
+    least = f"least(list_min(list_transform(words, lambda w: (f[1] * w + f[2]) % {ds.MINHASH_PRIME})), {ds.MINHASH_PRIME - 1})::DOUBLE"
+    return f"{_words()}, e AS (SELECT vec_id, list(word) AS words FROM d GROUP BY vec_id) SELECT r.vec_id, list_transform({factors}, lambda f: CASE WHEN words IS NULL THEN 0e0 ELSE {least} END) AS hash FROM r LEFT JOIN e USING (vec_id)"
+
+
 SQL = {
     "average_image": average(),
     "median_image": median(),
@@ -312,6 +383,11 @@ SQL = {
     "zernike": zernike(),
     "jarosz": jarosz_query(),
     "log_filter": log_filter(),
-    "orb_keypoints": fast_keypoints(),
-    "akaze_keypoints": hessian_keypoints(),
+    "lbp_image": binary_patterns(),
+    "rash": rings(),
+    "orb_keypoints": _fast(50) + _KEYPOINTS,
+    "akaze_keypoints": _hessian(50) + _KEYPOINTS,
+    "bovw_hist": word_histogram(),
+    "bovw_minhash": word_minhash(),
+    "bovw_simhash": word_simhash(),
 }
