@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pixelsieve.kernels import descriptors as ds
 from pixelsieve.kernels import imaging as im
-from pixelsieve.operators.hashers import images_of
+from pixelsieve.operators.hashers import images_of, results_of
 from pixelsieve.types import Feature, Interpolation
 
 
@@ -20,11 +20,7 @@ def vector_column(raster: Column | str, kernel: Callable[[np.ndarray], np.ndarra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for rasters in batches:
-            out: list = [None] * len(rasters)
-            for at, images in images_of(rasters):
-                for k, row in zip(at.tolist(), kernel(images), strict=True):
-                    out[k] = row.tolist()
-            yield pd.Series(out, dtype=object)
+            yield from results_of(rasters, kernel)
 
     run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, kind)(raster)
@@ -42,7 +38,7 @@ def keypoints(df: DataFrame, id_col: str, raster_col: str, feature: Feature, sid
         for rows in batches:
             rasters = pd.DataFrame(list(rows["raster"]))
             parts = []
-            for at, images in images_of(rasters):
+            for at, images in images_of(rasters, lambda h, w: side * side):
                 for k, image in zip(at.tolist(), im.to_gray(im.resize(images, side, side, Interpolation.BILINEAR)), strict=True):
                     x, y, r, a = ds.keypoints(image, feature, most)
                     parts.append(pd.DataFrame({"id": rows["id"].iloc[k], "rank": np.arange(1, len(x) + 1), "x": x, "y": y, "response": r, "angle": np.round(a, 6)}))

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,25 @@ def test_stream_of_all_formats(spark, tmp_path):
     rows = {r["path"].rsplit("/", 1)[1]: r for r in spark.table("mixed").collect()}
     assert len(rows) == 4 and all(r["modificationTime"] is not None for r in rows.values())
     assert rows["a.jpg"]["hash"] == rows["a.gif"]["hash"] == rows["a.png"]["hash"] != None and rows["b.jpg"]["hash"] is None  # noqa: E711
+
+
+@pytest.mark.parametrize("side", [256, 512])
+def test_enlarged_images_come_a_few_at_a_time(spark, side):
+    """Small images that a hasher enlarges: a batch is bounded by what is made of them, not by their own size."""
+
+    class Batch(hh.BlockMean):
+        def compute(self, images):
+            return np.full((len(images), 1), len(images))
+
+    hasher = Batch(width=side, height=side)
+    df = spark.range(300).select(src.gray_raster(F.array_repeat(F.lit(7), 64), 8, 8).alias("raster")).coalesce(1)
+    most = max(r["h"][0] for r in df.select(hasher.hash("raster").alias("h")).collect())
+    assert 1 < most * side * side <= hh.VALUES
+
+
+def test_long_hashes_are_handed_on_a_few_at_a_time():
+    rows = pd.DataFrame({"height": 8, "width": 8, "channels": 1, "pixels": [np.full(64, k % 256, np.int32) for k in range(700)]})
+    rows.loc[[3, 699], "pixels"] = None
+    parts = list(hh.results_of(rows, lambda x: x[:, 0, :1]))
+    assert max(map(len, parts)) <= hh.ROWS
+    assert [None if v is None else v[0] for v in pd.concat(parts)] == [None if k in (3, 699) else k % 256 for k in range(700)]
