@@ -373,6 +373,19 @@ def _metric_query(name: str, sql: str, fn, source=_pairs, cte: str = _PAIRS, col
     _query(name, f"WITH {cte} SELECT id_a, id_b, round({sql}, 9) + 0.0 AS distance FROM q")(run)
 
 
+def _block_query(name: str, sql: str, metric, digits: int = 9):
+    """As _metric_query, by the metric's matrices."""
+
+    def run(spark, sf_dir):
+        return sim.compared_within(r8(spark, sf_dir), "label", "vec_id", "p", metrics.MATRICES[metric], digits)
+
+    _query(name, sql)(run)
+
+
+def _rounded_pairs(sql: str) -> str:
+    return f"WITH {_PAIRS} SELECT id_a, id_b, round({sql}, 9) + 0.0 AS distance FROM q"
+
+
 _metric_query("hamming", _sum_sql("abs(X - Y)::DOUBLE"), metrics.hamming, _hash_pairs, _BITS, "h")
 _WEIGHTS = (1.0, 2.0, 0.5, 1.0, 3.0, 1.0, 0.25, 1.5)
 _metric_query("weighted_hamming", _sum_sql(f"abs(X - Y) * {_numbers(_WEIGHTS)}[CAST(k // 8 + 1 AS INTEGER)]"), lambda a, b: metrics.weighted_hamming(a, b, _WEIGHTS), _hash_pairs, _BITS, "h")
@@ -383,7 +396,7 @@ _metric_query("jaccard_uneven", f"CASE WHEN {_sum_sql('greatest(X, coalesce(Y, 0
 _metric_query("l1", _sum_sql("abs(X - Y)::DOUBLE"), metrics.l1)
 _metric_query("l2", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})", metrics.l2)
 _metric_query("cosine", f"1 - {_sum_sql('(X * Y)::DOUBLE')} / (sqrt({_sum_sql('(X * X)::DOUBLE')}) * sqrt({_sum_sql('(Y * Y)::DOUBLE')}))", metrics.cosine)
-_metric_query("chi_square", _sum_sql("CASE WHEN X + Y = 0 THEN 0.0 ELSE ((X - Y) * (X - Y))::DOUBLE / (X + Y) END"), metrics.chi_square)
+_block_query("chi_square", _rounded_pairs(_sum_sql("CASE WHEN X + Y = 0 THEN 0.0 ELSE ((X - Y) * (X - Y))::DOUBLE / (X + Y) END")), metrics.chi_square)
 _metric_query("jaccard_bits", f"CASE WHEN {_sum_sql('greatest(X, Y)::DOUBLE')} = 0 THEN 0 ELSE 1 - {_sum_sql('(X * Y)::DOUBLE')} / {_sum_sql('greatest(X, Y)::DOUBLE')} END", metrics.jaccard, _hash_pairs, _BITS, "h")
 _metric_query("jaccard_sig", f"1 - {_sum_sql('CASE WHEN X = Y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')} / 64", lambda a, b: metrics.jaccard(a, b, Kind.UINT8))
 _metric_query("generic_compare", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})", lambda a, b: metrics.compare(a, Kind.UINT8, b, Kind.FLOAT64))

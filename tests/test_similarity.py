@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,33 @@ def test_nearest_refuses_large_tables(spark, monkeypatch):
     df = spark.createDataFrame(hashes(3, 11, 8, 5), "i long, h array<int>")
     with pytest.raises(ValueError, match="nearest_within"):
         sim.nearest(df, "i", "h", 2, metrics.hamming)
+
+
+@pytest.mark.parametrize("metric", list(metrics.MATRICES), ids=lambda m: m.__name__)
+@pytest.mark.parametrize("whole", [True, False])
+def test_pairs_compared_by_the_block(spark, metric, whole):
+    """The same rows as a join with the metric's column, whatever the blocks; one common key is spread over tasks."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(0, 4, (90, 6)) if whole else rng.normal(size=(90, 6)) ** 2
+    vectors[:3] = 0
+    rows = [(k - 20 if k < 85 else 7, None if k == 4 else "x" if k % 10 else "y", v.tolist()) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, f"id long, key string, v array<{'int' if whole else 'double'}>")
+    want = sim.pairs_within(df, "key", "id", ["v"]).select("id_a", "id_b", (F.round(metric(F.col("v_a"), F.col("v_b")), 6) + 0.0).alias("distance"))
+    got = sim.compared_within(df, "key", "id", "v", metrics.MATRICES[metric], 6, block=16)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    per_task = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) < 0.5 * sum(r["count"] for r in per_task)
+
+
+def test_null_vectors_have_null_distances(spark):
+    df = spark.createDataFrame([(1, 0, [1, 2]), (2, 0, None), (3, 0, [2, 1]), (None, 0, [1, 1])], "id long, key int, v array<int>")
+    got = sim.compared_within(df, "key", "id", "v", metrics.MATRICES[metrics.l2], 3).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[:2]) == [(1, 2, None), (1, 3, 1.414), (2, 3, None)]
+    assert sim.compared_within(df.where("id < 0"), "key", "id", "v", metrics.MATRICES[metrics.l2], 3).count() == 0
+
+
+def test_rounds_as_spark(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-8, 12, 300), np.round(rng.normal(size=300), 3) + 0.0005, [0.0005, 1.0005, 2.5e-4, -0.0005, 1.0005e12, 0.0, np.inf, 1e22]])
+    want = [r[0] for r in spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, x double").orderBy("k").select(F.round("x", 3) + 0.0).collect()]
+    assert sim.rounded(x, 3).tolist() == want
