@@ -395,7 +395,7 @@ _metric_query("hamming_uneven", _sum_sql("abs(X - Y)::DOUBLE", 40), lambda a, b:
 _metric_query("jaccard_uneven", f"CASE WHEN {_sum_sql('greatest(X, coalesce(Y, 0))::DOUBLE')} = 0 THEN 0 ELSE 1 - {_sum_sql('(X * coalesce(Y, 0))::DOUBLE')} / {_sum_sql('greatest(X, coalesce(Y, 0))::DOUBLE')} END", lambda a, b: metrics.jaccard(a, F.slice(b, 1, 5)), _hash_pairs, _CUT, "h")
 _metric_query("l1", _sum_sql("abs(X - Y)::DOUBLE"), metrics.l1)
 _metric_query("l2", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})", metrics.l2)
-_metric_query("cosine", f"1 - {_sum_sql('(X * Y)::DOUBLE')} / (sqrt({_sum_sql('(X * X)::DOUBLE')}) * sqrt({_sum_sql('(Y * Y)::DOUBLE')}))", metrics.cosine)
+_block_query("cosine", _rounded_pairs(f"1 - {_sum_sql('(X * Y)::DOUBLE')} / (sqrt({_sum_sql('(X * X)::DOUBLE')}) * sqrt({_sum_sql('(Y * Y)::DOUBLE')}))"), metrics.cosine)
 _block_query("chi_square", _rounded_pairs(_sum_sql("CASE WHEN X + Y = 0 THEN 0.0 ELSE ((X - Y) * (X - Y))::DOUBLE / (X + Y) END")), metrics.chi_square)
 _metric_query("jaccard_bits", f"CASE WHEN {_sum_sql('greatest(X, Y)::DOUBLE')} = 0 THEN 0 ELSE 1 - {_sum_sql('(X * Y)::DOUBLE')} / {_sum_sql('greatest(X, Y)::DOUBLE')} END", metrics.jaccard, _hash_pairs, _BITS, "h")
 _metric_query("jaccard_sig", f"1 - {_sum_sql('CASE WHEN X = Y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')} / 64", lambda a, b: metrics.jaccard(a, b, Kind.UINT8))
