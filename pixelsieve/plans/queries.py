@@ -399,7 +399,7 @@ _block_query("cosine", _rounded_pairs(f"1 - {_sum_sql('(X * Y)::DOUBLE')} / (sqr
 _block_query("chi_square", _rounded_pairs(_sum_sql("CASE WHEN X + Y = 0 THEN 0.0 ELSE ((X - Y) * (X - Y))::DOUBLE / (X + Y) END")), metrics.chi_square)
 _metric_query("jaccard_bits", f"CASE WHEN {_sum_sql('greatest(X, Y)::DOUBLE')} = 0 THEN 0 ELSE 1 - {_sum_sql('(X * Y)::DOUBLE')} / {_sum_sql('greatest(X, Y)::DOUBLE')} END", metrics.jaccard, _hash_pairs, _BITS, "h")
 _metric_query("jaccard_sig", f"1 - {_sum_sql('CASE WHEN X = Y THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END')} / 64", lambda a, b: metrics.jaccard(a, b, Kind.UINT8))
-_metric_query("generic_compare", f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})", lambda a, b: metrics.compare(a, Kind.UINT8, b, Kind.FLOAT64))
+_block_query("generic_compare", _rounded_pairs(f"sqrt({_sum_sql('((X - Y) * (X - Y))::DOUBLE')})"), metrics.compared_by(Kind.UINT8, Kind.FLOAT64))
 _metric_query("distance_override", _sum_sql("abs(X - Y)::DOUBLE"), lambda a, b: hh.CLD(metric=metrics.l1).distance(a, b))
 
 
