@@ -407,10 +407,7 @@ _PCC = _PAIRS + """,
 m AS (SELECT id_a, id_b, list_transform(x, lambda v: (v::FLOAT - list_avg(x)::FLOAT)::DOUBLE) AS x, list_transform(y, lambda v: (v::FLOAT - list_avg(y)::FLOAT)::DOUBLE) AS y, list_stddev_pop(x) * list_stddev_pop(y) + 1e-20 AS s FROM q)"""
 
 
-@_query("pcc", f"WITH {_PCC} SELECT id_a, id_b, round(list_max(list_transform(range(64), lambda t: {_sum_sql('X * y[CAST((k - t + 64) % 64 + 1 AS INTEGER)]')} / 64 / s)), 6) AS distance FROM m")
-def pcc(spark, sf_dir):
-    rows = _pairs(spark, sf_dir)
-    return rows.select("id_a", "id_b", F.round(metrics.pcc(F.col("p_a"), F.col("p_b")), 6).alias("distance"))
+_block_query("pcc", f"WITH {_PCC} SELECT id_a, id_b, round(list_max(list_transform(range(64), lambda t: {_sum_sql('X * y[CAST((k - t + 64) % 64 + 1 AS INTEGER)]')} / 64 / s)), 6) AS distance FROM m", metrics.pcc, 6)
 
 
 @_query(
