@@ -26,3 +26,17 @@ def test_checkpoint_folder():
     spark, set_to = session("yarn", known="hdfs:///known")
     common.ensure_checkpoint_dir(spark)
     assert not set_to
+
+
+def test_cut(spark):
+    """All rows, in their order within partitions; no estimate of a size; both sides of a join may be one table."""
+    df = spark.range(20).repartition(3, "id").sortWithinPartitions("id").selectExpr("id", "nullif(id, 3) as x", "'a' as `odd name`")
+    wide = df
+    for _ in range(5):
+        wide = common.cut(wide.join(wide.select("id"), "id"))
+    assert wide.schema == df.schema and sorted(wide.collect()) == sorted(df.collect())
+    assert wide._jdf.queryExecution().optimizedPlan().stats().simpleString().endswith("EiB")
+    kept = common.cut(df)
+    assert kept.rdd.glom().collect() == df.rdd.glom().collect()
+    assert kept.alias("l").join(kept.alias("r"), "x").count() == 19
+    assert common.cut(df.limit(0)).count() == 0

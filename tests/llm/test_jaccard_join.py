@@ -205,6 +205,13 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_forget_sizes(spark):
+    """Estimated sizes are not multiplied from round to round, whatever the number of rounds."""
+    out = connected_components(spark.range(300).selectExpr("id a", "id + 1 b"))
+    assert out._jdf.queryExecution().optimizedPlan().stats().simpleString().endswith("EiB")
+    assert {tuple(r) for r in out.collect()} == {(x, 0) for x in range(301)}
+
+
 def test_drop(spark):
     rows = near_copies(6)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
