@@ -141,6 +141,32 @@ def test_very_long_text(spark, tmp_path):
     assert sorted(map(tuple, X.op3_repeated_text(spark, save(spark, tmp_path, rows)).collect())) == sorted(want)
 
 
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words in two documents each: of 400 bytes or more they go whole, shorter ones stay, and
+    n_bytes is the size of the input either way."""
+    rng = random.Random(51)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+
+    def passage(words, size):
+        gaps = set(rng.sample(range(1, size - 1, 2), words - 1))
+        return "".join(" " if k in gaps else letters(1) for k in range(size))
+
+    cases = [(51, 326), (51, 399), (51, 400), (63, 399), (63, 400), (63, 401), (120, 399), (120, 760)]
+    rows, want = [], []
+    for words, size in cases:
+        p = passage(words, size)
+        assert len(p.split()) == words and len(p.encode()) == size
+        for a, b in ("<>", "()"):
+            text = f"{letters(300)}{a}{p}{b}{letters(200)}"
+            kept = text.replace(p, "") if size >= 400 else text
+            rows.append(doc(len(rows), text))
+            want.append((len(want), len(text), len(text) - len(kept), int(size >= 400), hashlib.sha256(kept.encode()).hexdigest()))
+    for _ in cases:
+        rows.append(doc(len(rows), passage(130, 901)))
+        want.append((len(want), 901, 0, 0, hashlib.sha256(rows[-1][1].encode()).hexdigest()))
+    assert sorted(map(tuple, X.op3_repeated_text(spark, save(spark, tmp_path, rows)).collect())) == want
+
+
 def test_sample(spark):
     rows = [(r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = {r["doc_id"]: tuple(r) for r in X.op3_repeated_text(spark, SF).collect()}
